@@ -103,9 +103,12 @@ def entropy(df: DataFrame, by: list[str], value: str, name: str = "entropy") ->
     The group total is the sum of the value counts, so p is never taken from the raw rows.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    if not by:
+        total = counts.agg(F.sum("_c")).scalar()
+        return counts.agg(F.sum(entropy_term(F.col("_c") / total)).alias(name))
     totals = counts.groupBy(*by).agg(F.sum("_c").alias("_t"))
-    joined = counts.join(totals, by) if by else counts.crossJoin(F.broadcast(totals))
-    return joined.groupBy(*by).agg(F.sum(entropy_term(F.col("_c") / F.col("_t"))).alias(name))
+    return counts.join(totals, by).groupBy(*by).agg(
+        F.sum(entropy_term(F.col("_c") / F.col("_t"))).alias(name))
 
 
 def window_telemetry(df: DataFrame, spec: WindowSpec = WindowSpec(), start: Column | None = None) -> DataFrame:
@@ -120,7 +123,7 @@ def window_telemetry(df: DataFrame, spec: WindowSpec = WindowSpec(), start: Colu
         F.count("*").alias("c"), F.sum(F.coalesce("payload_size", F.lit(0))).alias("b"),
         F.sum(as_int("flag_syn")).alias("s"), F.sum(as_int("flag_ack")).alias("a"))
     counted = F.when(F.col("dst_port").isNotNull(), F.col("c"))
-    # entropy = -sum p log2(p + 1e-12) needs the total first; collect the port counts of the window
+    # the entropy sum needs the window total first, so the (bounded) port counts are kept as a list
     agg = by_port.groupBy("window_id").agg(
         F.sum("c").alias("n_rows"), F.sum("b").alias("bytes"), F.sum("s").alias("syn"),
         F.sum("a").alias("ack"), F.collect_list(counted).alias("_counts"), F.sum(counted).alias("_ports"))

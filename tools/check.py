@@ -42,7 +42,8 @@ def main() -> int:
     ap.add_argument("names", nargs="*")
     args = ap.parse_args()
     spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8",
-                                                "spark.driver.memory": "12g"})
+                                                "spark.driver.memory": "12g",
+                                                "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     for path in glob.glob(f"{args.sf}/*.parquet"):
