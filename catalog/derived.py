@@ -9,7 +9,7 @@ from packetloom.sources.telemetry import packets
 UNSW_EXPR = {
     "rec_id": "pkt_id", "source_ip": "src_ip", "destination_ip": "dst_ip",
     "source_port": "CAST(src_port AS STRING)",
-    "destination_port": "CASE WHEN k % 11 = 0 THEN '0x50' ELSE CAST(dst_port AS STRING) END",
+    "destination_port": "CASE WHEN k % 11 = 0 THEN 'x50' ELSE CAST(dst_port AS STRING) END",
     "protocol": "CASE WHEN protocol = 17 THEN 'UDP' WHEN k % 13 = 0 THEN 'OSPF' WHEN k % 17 = 0 THEN 'sctp' ELSE 'tcp' END",
     "state": "CASE WHEN flag_rst THEN 'RST' WHEN flag_fin THEN 'FIN' ELSE 'CON' END",
     "dur": "(k % 10) / 4.0", "sbytes": "payload_size", "dbytes": "payload_size * (k % 3)",
