@@ -187,7 +187,7 @@ def _(spark, sf):
 
 @register("ev_lead_time", f"""WITH {SCORED}, o AS (SELECT dst_ip, min(ts_us) AS onset_us FROM sc WHERE stage_true >= 4 GROUP BY ALL)
  SELECT dst_ip, onset_us, min(ts_us) FILTER (y_prob >= 0.7 AND ts_us <= onset_us) AS first_alert_us,
- {r6('(onset_us - min(ts_us) FILTER (y_prob >= 0.7 AND ts_us <= onset_us)) / 1e6')} AS lead_seconds FROM sc JOIN o USING (dst_ip) GROUP BY ALL""")
+ {r6('(onset_us - min(ts_us) FILTER (y_prob >= 0.7 AND ts_us <= onset_us)) / 1e6')} AS lead_seconds FROM sc JOIN o USING (dst_ip) GROUP BY dst_ip, onset_us""")
 def _(spark, sf):
     s = scored(spark, sf)
     onset = s.filter("stage_true >= 4").groupBy("dst_ip").agg(F.min("ts_us").alias("onset_us"))
@@ -364,3 +364,9 @@ def _(spark, sf):
     lab = table(spark, sf, "labels")
     return ev.confusion(lab.select("doc_id", F.col("quality").cast("double").alias("y_true"),
                                    (F.col("doc_id") * 37 % 1001 / F.lit(1000.0)).alias("y_prob")))
+
+
+@register("ev_unseen_shift")
+def _(spark, sf):
+    emb = table(spark, sf, "embeddings")
+    return ev.unseen_shift(emb.filter("label % 2 = 0"), emb.filter("label % 2 = 1"), "embedding")

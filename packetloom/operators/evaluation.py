@@ -99,7 +99,7 @@ def per_stage(scored: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("s.real"), F.col("n")).otherwise(0)).alias("support"),
         F.sum(F.when(~F.col("s.real"), F.col("n")).otherwise(0)).alias("predicted"))
     stages = ", ".join(f"({s}, '{n}')" for s, n in fv.STAGES.items())
-    dim = scored.sparkSession.sql(f"SELECT * FROM VALUES {stages} AS t(stage, name)")
+    dim = scored.sparkSession.sql(f"SELECT * FROM VALUES {stages} AS stage_dim(stage, name)")
     zero = F.lit(0)
     full = dim.join(sums, "stage", "left").select(
         "name", F.coalesce("tp", zero).alias("tp"), F.coalesce("support", zero).alias("support"),
@@ -291,6 +291,15 @@ def ood_norm(vector) -> Column:
     return q6(F.tanh(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)) / 20.0), 4)
 
 
+def unseen_shift(seen: DataFrame, held_out: DataFrame, vector: str) -> DataFrame:
+    """Mean divergence over vector positions and mean OOD score of the held-out rows."""
+    both = seen.select(vector, F.lit(True).alias("_seen")).unionByName(held_out.select(vector, F.lit(False).alias("_seen")))
+    scorer = MahalanobisScorer.fit(seen, vector)
+    ood = held_out.agg(F.avg(scorer.score(vector))).scalar()
+    return js_divergence(both, vector, F.col("_seen")).agg(
+        q6(F.avg("js"), 4).alias("divergence"), q6(F.max(ood), 4).alias("mean_ood_score"))
+
+
 def unseen(seen: DataFrame, held_out: DataFrame) -> DataFrame:
     """Metrics on seen and held-out rows side by side with the retained share of F1."""
     tagged = seen.withColumn("part", F.lit("seen")).unionByName(held_out.withColumn("part", F.lit("unseen")))

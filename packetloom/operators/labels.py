@@ -17,7 +17,7 @@ def clean_label(label) -> Column:
 def label_table(spark: SparkSession) -> DataFrame:
     """The exact label dictionary as a small dimension table (82 rows)."""
     rows = ", ".join(f"('{k}', {s}, '{t}')" for k, (s, t) in fv.LABELS.items())
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(clean, exact_stage, exact_technique)")
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS label_dim(clean, exact_stage, exact_technique)")
 
 
 def stage_name(stage) -> Column:
