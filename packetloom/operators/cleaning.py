@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from packetloom import fixed_values as fv
 from packetloom.functions.columns import col, seeded_hash
-from packetloom.operators.ordering import exact_quantiles, positions
+from packetloom.operators.ordering import exact_quantiles, head_rows, positions
 
 DEDUPE_KEY = ["src_ip", "src_port", "dst_ip", "dst_port", "protocol", "timestamp"]
 RATES = ["flow_byts_s", "flow_pkts_s"]
@@ -127,6 +127,7 @@ def clean_flows(df: DataFrame, order: Sequence[str] = ("timestamp",)) -> DataFra
     return dedupe_flows(out, [*[o for o in order if o in out.columns], *[c for c in rest if c not in order]])
 
 
+SMALL_TOP = 10_000
 PROTOCOL_FILTERS = {"tcp": [6], "udp": [17], "tcp or udp": [6, 17], "ip": None}
 
 
@@ -138,8 +139,9 @@ def protocol_filter(df: DataFrame, expression: str) -> DataFrame:
 
 
 def first_packets(df: DataFrame, n: int) -> DataFrame:
-    """The first n packets in time order (a bounded top-k on every task)."""
-    return df.orderBy("ts_us", "pkt_id").limit(n)
+    """The first n packets in time order; a large n is narrowed by a time histogram first."""
+    near = df if n <= SMALL_TOP else head_rows(df, "ts_us", n)
+    return near.orderBy("ts_us", "pkt_id").limit(n)
 
 
 def spread_minutes(df: DataFrame, minute: str, order: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom import fixed_values as fv
@@ -149,8 +149,7 @@ def _first_seen(df: DataFrame, by: list[str]) -> DataFrame:
 def window_registry(df: DataFrame, spec: WindowSpec = WindowSpec()) -> DataFrame:
     """Host ids 0.. inside each window, by first appearance then address."""
     seen = _first_seen(windows.assign(df.select("ts_us", "src_ip", "dst_ip"), spec, windows.origin(df)), ["window_id"])
-    w = Window.partitionBy("window_id").orderBy("first_us", "ip")
-    return seen.select("window_id", "ip", (F.row_number().over(w) - 1).cast("bigint").alias("node_id"))
+    return positions(seen, ["first_us", "ip"], within=["window_id"], name="node_id").select("window_id", "ip", "node_id")
 
 
 def capture_registry(df: DataFrame) -> DataFrame:

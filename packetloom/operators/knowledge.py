@@ -196,25 +196,26 @@ WORD = r"[\p{L}\p{N}_]{2,}"
 
 
 def tokens(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Lower-case words of every whole text, without stop words."""
+    """Lower-case words of every whole text, one row per occurrence."""
     body = F.when(F.trim(F.coalesce(text, F.lit(""))) == "", F.lit(BLANK_TEXT)).otherwise(F.col(text))
-    words = docs.select(F.col(doc_id).alias("doc_id"), F.explode(
+    return docs.select(F.col(doc_id).alias("doc_id"), F.explode(
         F.regexp_extract_all(F.lower(body), F.lit(WORD), F.lit(0))).alias("term"))
-    return words.filter(~F.col("term").isin(STOP_WORDS))
 
 
 def tfidf(docs: DataFrame, doc_id: str, text: str, terms: int = 48) -> DataFrame:
     """Sub-linear TF times smooth IDF, L2-normalised, over the most frequent terms.
 
-    Long form ``doc_id, term, weight``. Vocabulary and document frequencies are a table of at
-    most ``terms`` rows; the number of documents is a scalar.
+    Long form ``doc_id, term, weight``. The first pass shuffles only partial counts per word;
+    the second keeps the words of the chosen vocabulary (``terms`` rows) before it counts per
+    document.
     """
-    counts = tokens(docs, doc_id, text).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    vocab = (counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-             .orderBy(F.col("total").desc(), "term").limit(terms))
+    words = tokens(docs, doc_id, text)
+    vocab = (words.filter(~F.col("term").isin(STOP_WORDS)).groupBy("term").agg(F.count("*").alias("total"))
+             .orderBy(F.col("total").desc(), "term").limit(terms).select("term"))
+    counts = words.join(F.broadcast(vocab), "term").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    df = counts.groupBy("term").agg(F.count("*").alias("df"))
     n = docs.agg(F.count("*")).scalar()
     idf = F.log(ratio(F.lit(1) + n, F.lit(1) + F.col("df"))) + 1
-    raw = counts.join(F.broadcast(vocab), "term").select(
-        "doc_id", "term", ((F.log("tf") + 1) * idf).alias("w"))
+    raw = counts.join(F.broadcast(df), "term").select("doc_id", "term", ((F.log("tf") + 1) * idf).alias("w"))
     norms = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norms, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("weight"))

@@ -103,6 +103,44 @@ def first_n(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
             .drop("_rank", "_salt"))
 
 
+HASH_BITS, BUCKET_BITS = 60, 16
+
+
+def first_n_by_hash(df: DataFrame, group: Sequence[str], hash_col: str, tie: str, n: Column | int) -> DataFrame:
+    """First ``n`` rows of each group in the order of a uniform 60-bit hash.
+
+    A histogram of the hash's leading bits per group finds the bucket that holds the n-th row.
+    Rows beyond it are filtered out before any shuffle, so even a group with most of the table
+    ranks only about ``n`` plus one bucket's rows, and the result is exact.
+    """
+    n = n if isinstance(n, Column) else F.lit(n)
+    bucketed = df.withColumn("_bucket", F.shiftright(F.col(hash_col), HASH_BITS - BUCKET_BITS)).withColumn("_n", n)
+    hist = bucketed.groupBy(*group, "_bucket").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
+    upto = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # <= 65,536 rows
+    needed = hist.withColumn("_before", F.coalesce(F.sum("_c").over(upto), F.lit(0))).filter(F.col("_before") < F.col("_n"))
+    last = needed.groupBy(*group).agg(F.max("_bucket").alias("_last"))
+    near = bucketed.join(last, list(group)).filter(F.col("_bucket") <= F.col("_last"))
+    w = Window.partitionBy(*group).orderBy(hash_col, tie)
+    return near.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= F.col("_n")).select(*df.columns)
+
+
+def head_rows(df: DataFrame, order: str, n: int, bins: int = 65_536) -> DataFrame:
+    """A superset of the first ``n`` rows by a numeric column, cut off by its histogram.
+
+    The cut-off is a constant comparison on the column, so files that lie beyond it are skipped.
+    """
+    lo, hi = df.agg(F.min(order), F.max(order)).first()
+    if lo is None:
+        return df
+    width = max((hi - lo) / bins, 1e-9)
+    hist = (df.groupBy(F.floor((F.col(order) - lo) / F.lit(float(width))).alias("_bin")).agg(F.count("*").alias("_c")))
+    upto = Window.partitionBy(F.lit(0)).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # <= bins rows
+    last = (hist.withColumn("_before", F.coalesce(F.sum("_c").over(upto), F.lit(0))).filter(F.col("_before") < n)
+            .agg(F.max("_bin")).first()[0])
+    # one extra bin keeps rows that rounding put on the border
+    return df.filter(F.col(order) <= F.lit(lo + width * (last + 2)))
+
+
 def gap_stats(df: DataFrame, keys: Sequence[str], ts: str = "ts_us",
               tracks: dict[str, Column] | None = None, bucket_us: int | None = 10_000_000) -> DataFrame:
     """Statistics of consecutive time gaps per key, exact in integer microseconds.

@@ -9,27 +9,26 @@ from pyspark.sql import functions as F
 
 from packetloom.config import SplitSpec
 from packetloom.functions.columns import col, seeded_hash
-from packetloom.operators.ordering import first_n, positions
+from packetloom.operators.ordering import first_n, first_n_by_hash, head_rows, positions
 
 
 def cap_random(df: DataFrame, group: str, key: str, cap: int, big_group: str | None = None, big_cap: int = 0,
                seed: int = 42) -> DataFrame:
     """At most ``cap`` rows per group (``big_cap`` for one named group), chosen by seeded hash."""
     limit = F.when(F.col(group) == big_group, F.lit(big_cap)).otherwise(F.lit(cap)) if big_group else F.lit(cap)
-    order = seeded_hash(seed, key)
-    # the salt comes from bits the ordering hash does not sort by first
-    return first_n(df.withColumn("_h", order), [group], ["_h", key], limit, salt=F.col("_h")).drop("_h")
+    return first_n_by_hash(df.withColumn("_h", seeded_hash(seed, key)), [group], "_h", key, limit).drop("_h")
 
 
 def cap_first(df: DataFrame, group: str, order: Sequence[str], cap: int, max_total: int, max_scanned: int,
               chunk: int, big: Column | None = None) -> DataFrame:
     """First rows of every group in arrival order, reading whole chunks until a quota is met.
 
-    ``big`` marks groups that may fill 30 % of ``max_total``. Reading stops after the chunk in
+    ``order`` starts with a numeric arrival column, which limits the scan. ``big`` marks groups that may fill 30 % of ``max_total``. Reading stops after the chunk in
     which ``max_scanned`` rows were read or ``max_total`` rows were kept.
     """
-    placed = positions(df, order, name="_pos").withColumn("_chunk", F.floor(F.col("_pos") / chunk))
     last_scan = -(-max_scanned // chunk) - 1
+    near = head_rows(df, order[0], (last_scan + 1) * chunk)
+    placed = positions(near, order, name="_pos").withColumn("_chunk", F.floor(F.col("_pos") / chunk))
     limit = F.when(big, F.lit(int(max_total * 0.30))).otherwise(F.lit(cap)) if big is not None else F.lit(cap)
     kept = first_n(placed.filter(F.col("_chunk") <= last_scan), [group], ["_pos"], limit, salt=F.col("_pos"))
     per_chunk = kept.groupBy("_chunk").agg(F.count("*").alias("n"))
