@@ -15,7 +15,7 @@ HEADER_ROWS_TO_BROADCAST = 100_000
 
 def csv_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 unless some line does not decode, then Latin-1."""
-    broken = spark.read.text(path).filter(F.col("value").contains("�")).limit(1)
+    broken = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1)
     return "ISO-8859-1" if broken.take(1) else "UTF-8"
 
 

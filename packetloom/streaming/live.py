@@ -128,7 +128,10 @@ def host_memory_batch(windows: DataFrame) -> DataFrame:
 
 
 def late_report(stream: DataFrame, spec: WindowSpec = WindowSpec(), delay: str = "10 seconds") -> DataFrame:
-    """Rows per tumbling window under a watermark; later rows are dropped by the engine."""
+    """Rows per tumbling window under a watermark; later rows are dropped by the engine.
+
+    A trigger drops by the watermark that the trigger before it started with.
+    """
     agg = (stream.withWatermark("event_time", delay).groupBy(F.window("event_time", f"{spec.size_us} microseconds").alias("w"))
            .agg(F.count("*").alias("n")))
     return agg.select(F.unix_micros("w.start").alias("start_us"), "n")
