@@ -42,7 +42,7 @@ def r6cols(cols, prefix=""):
 
 @register("edge_features", f"WITH {RW}{EDGES} SELECT window_id, src_ip, dst_ip, {r6cols(fv.EDGE_FEATURES)} FROM ef")
 def _(spark, sf):
-    return rounded(graph.edge_features(retrans_packets(spark, sf), SPEC), *fv.EDGE_FEATURES)
+    return rounded(graph.edge_features(retrans_packets(spark, sf), SPEC, packets(spark, sf)), *fv.EDGE_FEATURES)
 
 
 @register("edge_iat", f"WITH {RW}{EDGES} SELECT window_id, src_ip, dst_ip, {r6cols(['iat_mean', 'iat_std', 'iat_max'])} FROM ef")
@@ -76,7 +76,7 @@ NODES = """, so AS (SELECT window_id, src_ip AS ip, count(*) AS n_out, sum(paylo
 
 @register("node_features", f"WITH {RW}{NODES} SELECT window_id, ip, {r6cols(fv.NODE_FEATURES)} FROM nf")
 def _(spark, sf):
-    return rounded(graph.node_features(retrans_packets(spark, sf), SPEC), *fv.NODE_FEATURES)
+    return rounded(graph.node_features(retrans_packets(spark, sf), SPEC, packets(spark, sf)), *fv.NODE_FEATURES)
 
 
 ENDS = "(SELECT {g} ts_us, src_ip AS ip FROM {t} UNION ALL SELECT {g} ts_us, dst_ip FROM {t})"
@@ -145,7 +145,7 @@ SOFT = EDGES + """, mx AS (SELECT window_id, max(log_byte_volume) AS m FROM ef G
 
 
 def scored_edges(spark, sf):
-    return graph.edge_softmax(graph.edge_features(retrans_packets(spark, sf), SPEC), "log_byte_volume")
+    return graph.edge_softmax(graph.edge_features(retrans_packets(spark, sf), SPEC, packets(spark, sf)), "log_byte_volume")
 
 
 @register("edge_softmax", f"WITH {RW}{SOFT} SELECT window_id, src_ip, dst_ip, {r6cols(['attention'])} FROM sm")
@@ -157,7 +157,7 @@ def _(spark, sf):
  {', '.join(f"{r6(f'sum(attention * nf.{c})')} AS msg_{c}" for c in fv.NODE_FEATURES)}
  FROM sm JOIN nf ON nf.window_id = sm.window_id AND nf.ip = sm.src_ip GROUP BY ALL""")
 def _(spark, sf):
-    nodes = graph.node_features(retrans_packets(spark, sf), SPEC)
+    nodes = graph.node_features(retrans_packets(spark, sf), SPEC, packets(spark, sf))
     out = graph.neighbour_message(scored_edges(spark, sf).select(*graph.EDGE, "attention"), nodes, fv.NODE_FEATURES)
     return rounded(out, *[f"msg_{c}" for c in fv.NODE_FEATURES])
 
@@ -165,5 +165,5 @@ def _(spark, sf):
 @register("graph_pool", f"""WITH {RW}{NODES} SELECT window_id, {', '.join(f"{r6(f'avg({c})')} AS mean_{c}" for c in fv.NODE_FEATURES)},
  {', '.join(f"{r6(f'max({c})')} AS max_{c}" for c in fv.NODE_FEATURES)} FROM nf GROUP BY ALL""")
 def _(spark, sf):
-    out = graph.graph_pool(graph.node_features(retrans_packets(spark, sf), SPEC), fv.NODE_FEATURES)
+    out = graph.graph_pool(graph.node_features(retrans_packets(spark, sf), SPEC, packets(spark, sf)), fv.NODE_FEATURES)
     return rounded(out, *[c for c in out.columns if c != "window_id"])

@@ -21,7 +21,7 @@ BASE = RETRANS + B + pw() + TELE + DYN_SQL + pw("rt", "rw")
 
 def graph_tables(spark, sf):
     p = retrans_packets(spark, sf)
-    return p, graph.edge_features(p, SPEC), windows.snapshot_dynamics(p, SPEC)
+    return p, graph.edge_features(p, SPEC, packets(spark, sf)), windows.snapshot_dynamics(packets(spark, sf), SPEC)
 
 
 HIT = f"(src_ip = '{HOST}' OR dst_ip = '{HOST}')"

@@ -20,7 +20,7 @@ MAX_ROWS, MAX_ITER, SEED = 200_000, 500, 42
 
 def flow_matrix(flows: DataFrame) -> DataFrame:
     """The ten features and the binary label of each flow."""
-    ent = windows.entropy(flows, ["src_ip"], "dst_port", "port_entropy")
+    ent = windows.port_entropy(flows, ["src_ip"])
     return flows.join(ent, "src_ip", "left").select(
         "flow_key", F.col("tot_fwd_bytes").cast("double").alias("bytes_fwd"), F.col("tot_bwd_bytes").cast("double").alias("bytes_bwd"),
         F.col("pkt_len_mean").alias("pkt_size_mean"), F.col("pkt_len_std").alias("pkt_size_std"),

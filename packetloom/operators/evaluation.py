@@ -147,10 +147,31 @@ def rollout_heads(scored: DataFrame) -> DataFrame:
 
 
 def report(scored: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
-    """Every scalar metric, one row per group."""
+    """Every scalar metric, one row per group, from a single pass over the scored rows.
+
+    Rows collapse to positive and negative counts per score; the ranked counts give the ROC
+    area, and the same counts per calibration bin give all other metrics.
+    """
     by = list(by)
-    return (with_rates(confusion(scored, by)).join(auroc(scored, by), by).join(brier(scored, by), by)
-            .join(ece(scored, by), by))
+    counts = scored.groupBy(*by, "y_prob").agg(F.count_if(_truth()).alias("_p"), F.count_if(~_truth()).alias("_n"))
+    ranked = prefix_sums(counts, ["y_prob"], {"_below": F.col("_n")}, by)
+    p, n, prob = F.col("_p"), F.col("_n"), F.col("y_prob")
+    up = prob >= 0.5
+
+    def tally(x: Column, cond: Column) -> Column:
+        return F.sum(F.when(cond, x).otherwise(F.lit(0)))
+
+    bins = ranked.groupBy(*by, calibration_bin("y_prob").alias("_bin")).agg(
+        tally(p, up).alias("tp"), tally(n, ~up).alias("tn"), tally(n, up).alias("fp"), tally(p, ~up).alias("fn"),
+        F.sum(p).alias("_p"), F.sum(n).alias("_n"), F.sum(prob * (p + n)).alias("_conf"),
+        F.sum(p * F.pow(prob - 1, 2) + n * prob * prob).alias("_sq"),
+        F.sum(p * (F.col("_below") - n / F.lit(2.0))).alias("_won"))
+    off = F.when(F.col("_bin").between(0, 9), F.abs(F.col("_p") - F.col("_conf"))).otherwise(F.lit(0.0))
+    total = F.sum(F.col("_p") + F.col("_n"))
+    sums = bins.groupBy(*by).agg(
+        *[F.sum(c).alias(c) for c in ("tp", "tn", "fp", "fn")], (F.sum("_sq") / total).alias("brier_score"), (F.sum(off) / total).alias("ece"),
+        F.try_divide(F.sum("_won"), F.sum("_p").cast("double") * F.sum("_n")).alias("auroc"))
+    return with_rates(sums)
 
 
 def _fixed(x, digits: int) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom import fixed_values as fv
@@ -49,12 +49,13 @@ def _var_samp(n: Column, s: Column, q: Column) -> Column:
 
 
 def with_bidi(edges: DataFrame) -> DataFrame:
-    """Share of a pair's rows that run in the edge's own direction."""
-    back = edges.select("window_id", F.col("src_ip").alias("dst_ip"), F.col("dst_ip").alias("src_ip"),
-                        F.col("n").alias("_back"))
-    return (edges.join(back, EDGE, "left")
-            .withColumn("bidi_ratio", F.col("n") / (F.col("n") + F.coalesce("_back", F.lit(0))))
-            .drop("_back"))
+    """Share of a pair's rows that run in the edge's own direction.
+
+    An unordered pair has at most two directed edges, so the window groups hold one or two rows.
+    """
+    pair = Window.partitionBy("window_id", F.least("src_ip", "dst_ip"), F.greatest("src_ip", "dst_ip"))
+    both = F.when(F.col("src_ip") == F.col("dst_ip"), 2 * F.col("n")).otherwise(F.sum("n").over(pair))
+    return edges.withColumn("bidi_ratio", F.col("n") / both)
 
 
 def edge_iat(df: DataFrame, spec: WindowSpec = WindowSpec()) -> DataFrame:
@@ -64,18 +65,22 @@ def edge_iat(df: DataFrame, spec: WindowSpec = WindowSpec()) -> DataFrame:
     return stats.select(*EDGE, *[clip(f"iat_{s}", 0.0, 60.0).alias(f"iat_{s}") for s in ("mean", "std", "max")])
 
 
-def edge_features(df: DataFrame, spec: WindowSpec = WindowSpec()) -> DataFrame:
-    """The 16 features of every directed edge per window, from packets or flow rows."""
-    e = with_bidi(edge_moments(df, spec))
-    feats = e.select(
+def edge_features(df: DataFrame, spec: WindowSpec = WindowSpec(), timing: DataFrame | None = None) -> DataFrame:
+    """The 16 features of every directed edge per window, from packets or flow rows.
+
+    Sums and gaps both end partitioned by edge and join in place. ``timing`` may name a plainer
+    table with the same packets (time and hosts only) when ``df`` is the result of joins, so
+    that the gap branch does not repeat them.
+    """
+    e = with_bidi(edge_moments(df, spec).join(edge_iat(df if timing is None else timing, spec), EDGE))
+    return e.select(
         *EDGE, F.log1p("n").alias("log_packet_count"), F.log1p("bytes").alias("log_byte_volume"),
         *[ratio(f, "n").alias(f"{f}_ratio") for f in ("syn", "ack", "rst", "fin")],
         ratio("retrans", "n").alias("retransmission_rate"), F.col("ports").alias("unique_dst_ports"),
         finite_or(F.try_divide("ttl_s", "ttl_n"), 64.0).alias("mean_ttl"),
         F.sqrt(_var_samp(F.col("ttl_n"), F.col("ttl_s"), F.col("ttl_q"))).alias("ttl_std"),
         finite_or(F.try_divide("win_s", "win_n"), 1024.0).alias("mean_tcp_window"),
-        private_ip("src_ip").cast("double").alias("is_internal"), "bidi_ratio")
-    return feats.join(edge_iat(df, spec), EDGE).select(*EDGE, *fv.EDGE_FEATURES)
+        private_ip("src_ip").cast("double").alias("is_internal"), "iat_mean", "iat_std", "iat_max", "bidi_ratio")
 
 
 def edge_features_from_flows(flows: DataFrame, spec: WindowSpec = WindowSpec()) -> DataFrame:
@@ -86,11 +91,12 @@ def edge_features_from_flows(flows: DataFrame, spec: WindowSpec = WindowSpec())
         clip(finite_or(F.avg(f"flow_iat_{s}")), 0.0, 60.0).alias(f"iat_{s}") for s in ("mean", "std", "max")])
 
 
-def node_features(df: DataFrame, spec: WindowSpec = WindowSpec()) -> DataFrame:
+def node_features(df: DataFrame, spec: WindowSpec = WindowSpec(), timing: DataFrame | None = None) -> DataFrame:
     """The 16 features of every host per window.
 
     Each edge row is read from both ends, so one aggregate yields out- and in-side values
-    and the peer counts are plain row counts; only the port entropy needs packets again.
+    and the peer counts are plain row counts; only the port entropy needs packets again
+    (from ``timing`` when given, see ``edge_features``).
     """
     edges = edge_moments(df, spec)
     ends = edges.select("window_id", "n", "bytes", "syn", "ack", "rst", "retrans", "ttl_n", "ttl_s", "ttl_q",
@@ -109,7 +115,8 @@ def node_features(df: DataFrame, spec: WindowSpec = WindowSpec()) -> DataFrame:
         F.count_if(out).alias("peers_out"), F.count_if(inn).alias("peers_in"),
         *[total(f"ttl_{m}", out).alias(f"o_{m}") for m in "nsq"],
         *[total(f"ttl_{m}", inn).alias(f"i_{m}") for m in "nsq"])
-    ent = windows.entropy(_window_rows(df, spec), ["window_id", "src_ip"], "dst_port", "port_entropy")
+    plain = df if timing is None else timing
+    ent = windows.port_entropy(_window_rows(plain, spec), ["window_id", "src_ip"])
     joined = agg.join(ent.withColumnRenamed("src_ip", "ip"), ["window_id", "ip"], "left")
     sends = F.col("n_out").isNotNull()
     zero = F.lit(0)

@@ -111,6 +111,13 @@ def entropy(df: DataFrame, by: list[str], value: str, name: str = "entropy") ->
         F.sum(entropy_term(F.col("_c") / F.col("_t"))).alias(name))
 
 
+def port_entropy(df: DataFrame, by: list[str], port: str = "dst_port", name: str = "port_entropy") -> DataFrame:
+    """Same for a port column: its at most 65,536 counts per group fit a list, so no join is needed."""
+    counts = df.filter(F.col(port).isNotNull()).groupBy(*by, port).agg(F.count("*").alias("_c"))
+    lists = counts.groupBy(*by).agg(F.collect_list("_c").alias("_l"), F.sum("_c").alias("_t"))
+    return lists.select(*by, F.aggregate("_l", F.lit(0.0), lambda acc, c: acc + entropy_term(c / F.col("_t"))).alias(name))
+
+
 def window_telemetry(df: DataFrame, spec: WindowSpec = WindowSpec(), start: Column | None = None) -> DataFrame:
     """Per window: rows, bytes, SYN / ACK counts, both SYN ratios, log bytes and port entropy.
 
