@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog import derived
 from catalog.common import PACKETS, RETRANS, labelled, private, r6, register, rounded, typed
+from catalog.flow_queries import CANON
 from catalog.window_queries import B, pw
 from packetloom import fixed_values as fv
 from packetloom.config import WindowSpec
@@ -50,6 +51,19 @@ def _(spark, sf):
     return rounded(graph.edge_iat(packets(spark, sf), SPEC), "iat_mean", "iat_std", "iat_max")
 
 
+FLOWGAPS = CANON + B + """, gg AS (SELECT flow_key, ts_us - lag(ts_us) OVER (PARTITION BY flow_key ORDER BY ts_us, pkt_id) AS gap FROM c),
+ fi AS (SELECT flow_key, coalesce(sum(gap) / CAST(count(gap) AS DOUBLE) / 1e6, 0) AS m, coalesce(stddev_pop(gap) / 1e6, 0) AS s, coalesce(max(gap) / 1e6, 0) AS x FROM gg GROUP BY ALL),
+ ff AS (SELECT flow_key, min(ts_us) AS ts_us, arg_min(src_ip, CAST(ts_us AS HUGEINT) * 1000000000000 + pkt_id) AS src_ip,
+  arg_min(dst_ip, CAST(ts_us AS HUGEINT) * 1000000000000 + pkt_id) AS dst_ip FROM c GROUP BY ALL)""" + pw("ff", "fw")
+
+
+@register("edge_iat_flows", f"""WITH {FLOWGAPS} SELECT window_id, src_ip, dst_ip, {r6('least(avg(m), 60)')} AS iat_mean, {r6('least(avg(s), 60)')} AS iat_std, {r6('least(avg(x), 60)')} AS iat_max
+ FROM fw JOIN fi USING (flow_key) GROUP BY window_id, src_ip, dst_ip""")
+def _(spark, sf):
+    f = flows.flow_table(packets(spark, sf)).withColumn("ts_us", F.col("start_us"))
+    return rounded(graph.edge_features_from_flows(f, SPEC), "iat_mean", "iat_std", "iat_max")
+
+
 @register("edge_bidi_ratio", f"WITH {RW}{EDGES} SELECT window_id, src_ip, dst_ip, {r6cols(['bidi_ratio'])} FROM ef")
 def _(spark, sf):
     edges = graph.with_bidi(graph.edge_moments(packets(spark, sf), SPEC))

@@ -166,8 +166,8 @@ def _(spark, sf):
 
 
 AW = ANNOTATED + B.replace("FROM p)", "FROM ann)") + pw("ann", "aw")
-MODE = """, sc AS (SELECT window_id, mitre_stage_id AS s, count(*) AS n, sum(mitre_confidence) AS c FROM aw GROUP BY ALL),
- wm AS (SELECT window_id, first(s ORDER BY n DESC, s) AS stage, sum(c) / sum(n) AS confidence FROM sc GROUP BY window_id)"""
+MODE = """, sc AS (SELECT window_id, mitre_stage_id AS s, count(*) AS n, sum(CAST(mitre_confidence AS DECIMAL(18,6))) AS c FROM aw GROUP BY ALL),
+ wm AS (SELECT window_id, first(s ORDER BY n DESC, s) AS stage, CAST(sum(c) AS DOUBLE) / sum(n) AS confidence FROM sc GROUP BY window_id)"""
 
 
 @register("win_stage_mode", f"WITH {AW}{MODE} SELECT window_id, stage, {r6('confidence')} AS confidence FROM wm")
@@ -175,7 +175,7 @@ def _(spark, sf):
     return rounded(windows.stage_mode(labels.annotate(packets(spark, sf)), SPEC), "confidence")
 
 
-LAB = """, sc AS (SELECT window_id, mitre_stage_id AS s, count(*) AS n, avg(mitre_confidence) AS m FROM aw GROUP BY ALL),
+LAB = """, sc AS (SELECT window_id, mitre_stage_id AS s, count(*) AS n, CAST(sum(CAST(mitre_confidence AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS m FROM aw GROUP BY ALL),
  wl AS (SELECT window_id, first(s ORDER BY n DESC, s) FILTER (s > 0) AS bs, first(m ORDER BY n DESC, s) FILTER (s > 0) AS bm,
    max(m) FILTER (s = 0) AS gm, CAST(coalesce(sum(n) FILTER (s > 0), 0) AS BIGINT) AS nb FROM sc GROUP BY window_id)"""
 NAMES = "['Benign','Reconnaissance','Initial Access','Credential Access','Lateral Movement','Command & Control','Exfiltration']"

@@ -58,33 +58,93 @@ def positions(df: DataFrame, order: Sequence[str], within: Sequence[str] = (),
     return ranked.withColumn(name, F.col(name) - 1)
 
 
+# The sketch is off by at most 1/ACCURACY of the rows, half of the bracket's margin.
+ACCURACY, MARGIN = 10_000, 2e-4
+
+
 def exact_quantiles(df: DataFrame, columns: Sequence[str], qs: Sequence[float]) -> DataFrame:
     """Linear-interpolated quantiles of several numeric columns: one row per column.
 
-    Output: ``column, n, max_value, q0..``; null, NaN and infinite values are ignored.
-    Equal values collapse to one counted row before any ordering.
+    Output: ``column, n, max_value, q0..``; null, NaN and infinite values are ignored. A
+    mergeable sketch brackets each quantile, one aggregate counts the rows below the bracket,
+    and only the rows inside it (a few in ten thousand, equal values collapsed) are ordered.
     """
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], list(columns), "column", "value")
-    counts = (long.filter(F.col("value").isNotNull() & ~F.isnan("value")
-                          & (F.abs("value") < F.lit(float("inf"))))
-              .groupBy("column", "value").agg(F.count("*").alias("_n")))
-    ranked = prefix_sums(counts, ["value"], {"_hi": F.col("_n")}, ["column"])
-    sizes = ranked.groupBy("column").agg(F.max("_hi").alias("n"), F.max("value").alias("max_value"))
-    placed = ranked.join(F.broadcast(sizes), "column")  # one row per named column
-    lo = F.col("_hi") - F.col("_n")
-
-    def value_at(rank: Column) -> Column:
-        return F.max(F.when((lo <= rank) & (rank < F.col("_hi")), F.col("value")))
+    long = long.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < F.lit(float("inf"))))
+    points = [min(max(q + side * MARGIN, 0.0), 1.0) for q in qs for side in (-1, 1)]
+    brackets = long.groupBy("column").agg(
+        F.count("*").alias("n"), F.max("value").alias("max_value"),
+        F.percentile_approx("value", points, ACCURACY).alias("_at"))
+    marked = long.join(F.broadcast(cut(brackets)), "column")  # one row per named column
+    value, at = F.col("value"), F.col("_at")
+    sides = []
+    for i in range(len(qs)):
+        lo, hi = at[2 * i], at[2 * i + 1]
+        sides += [F.count_if(value < lo).alias(f"_below{i}"), F.count_if(value <= hi).alias(f"_upto{i}"),
+                  F.max(F.when(value < lo, value)).alias(f"_prev{i}"), F.min(F.when(value > hi, value)).alias(f"_next{i}")]
+    around = marked.groupBy("column", "n", "max_value").agg(*sides)
+    inside = F.filter(F.array(*[F.when(value.between(at[2 * i], at[2 * i + 1]), F.lit(i)) for i in range(len(qs))]),
+                      lambda i: i.isNotNull())
+    near = (marked.select("column", "value", F.explode(inside).alias("_i")).groupBy("column", "_i", "value")
+            .agg(F.count("*").alias("_n")))
+    ranked = prefix_sums(near, ["value"], {"_cum": F.col("_n")}, ["column", "_i"])
+    placed = ranked.join(F.broadcast(around), "column")
 
     aggs, outs = [], []
     for i, q in enumerate(qs):
         pos = (F.col("n") - 1) * F.lit(float(q))
+        hi_rank = F.col(f"_below{i}") + F.col("_cum")
+        lo_rank = hi_rank - F.col("_n")
+
+        def value_at(rank: Column, i: int = i, lo_rank: Column = lo_rank, hi_rank: Column = hi_rank) -> Column:
+            return F.max(F.when(rank < F.col(f"_below{i}"), F.col(f"_prev{i}"))
+                         .when(rank >= F.col(f"_upto{i}"), F.col(f"_next{i}"))
+                         .when((F.col("_i") == i) & (lo_rank <= rank) & (rank < hi_rank), value))
+
         aggs += [value_at(F.floor(pos)).alias(f"_lo{i}"), value_at(F.ceil(pos)).alias(f"_hi{i}")]
         frac = pos - F.floor(pos)
         outs.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * frac).alias(f"q{i}"))
-    grouped = placed.groupBy("column", "n", "max_value").agg(*aggs)
-    return grouped.select("column", "n", "max_value", *outs)
+    return placed.groupBy("column", "n", "max_value").agg(*aggs).select("column", "n", "max_value", *outs)
+
+
+def keys_at_ranks(df: DataFrame, order: str, tie: str, ranks: Sequence[int], bins: int = 65_536) -> dict[int, tuple]:
+    """The (order, tie) values of the rows at the given 0-based ranks; missing ranks are absent.
+
+    An integer column is binned, the bin counts locate each rank, and only the rows of those
+    bins are ordered. With these keys a split by rank is a comparison on every row, without
+    moving any.
+    """
+    lo, hi = df.agg(F.min(order), F.max(order)).first()
+    if lo is None:
+        return {}
+    width = (hi - lo) // bins + 1
+    placed_bin = F.floor((F.col(order) - F.lit(lo)) / F.lit(width)).cast("bigint")
+    tagged = df.select(F.col(order).alias("_o"), F.col(tie).alias("_t"), placed_bin.alias("_bin"))
+    counts = sorted((r["_bin"], r["n"]) for r in tagged.groupBy("_bin").agg(F.count("*").alias("n")).collect())  # <= bins
+    wanted, start = {}, 0
+    for number, n in counts:
+        for rank in ranks:
+            if start <= rank < start + n:
+                wanted[rank] = (number, rank - start)
+        start += n
+    if not wanted:
+        return {}
+    near = tagged.filter(F.col("_bin").isin(sorted({b for b, _ in wanted.values()})))
+    spot = None
+    for number, offset in set(wanted.values()):
+        test = (F.col("_bin") == number) & (F.col("position") == offset)
+        spot = test if spot is None else spot | test
+    found = {(r["_bin"], r["position"]): (r["_o"], r["_t"]) for r in positions(near, ["_o", "_t"], ["_bin"]).filter(spot).collect()}
+    return {rank: found[where] for rank, where in wanted.items()}
+
+
+def precedes(order: str, tie: str, key: tuple | None) -> Column:
+    """Whether a row sorts before ``key``; every row does when the key is absent."""
+    if key is None:
+        return F.lit(True)
+    o, t = F.lit(key[0]), F.lit(key[1])
+    return (F.col(order) < o) | ((F.col(order) == o) & (F.col(tie) < t))
 
 
 def first_n(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], n: Column | int,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from packetloom.config import SplitSpec
 from packetloom.functions.columns import col, seeded_hash
-from packetloom.operators.ordering import first_n, first_n_by_hash, head_rows, positions
+from packetloom.operators.ordering import first_n, first_n_by_hash, head_rows, keys_at_ranks, positions, precedes
 
 
 def cap_random(df: DataFrame, group: str, key: str, cap: int, big_group: str | None = None, big_cap: int = 0,
@@ -39,13 +39,17 @@ def cap_first(df: DataFrame, group: str, order: Sequence[str], cap: int, max_tot
 
 
 def split_random(df: DataFrame, key: str, spec: SplitSpec = SplitSpec()) -> DataFrame:
-    """Exact train/val/test sizes over rows ranked by seeded hash; adds ``split``."""
-    n = df.agg(F.count("*")).scalar()
-    ranked = positions(df.withColumn("_h", seeded_hash(spec.seed, key)), ["_h", key], name="_pos")
-    train = F.floor(n * F.lit(spec.train_frac))
-    val = train + F.floor(n * F.lit(spec.val_frac))
-    return ranked.withColumn("split", F.when(F.col("_pos") < train, "train").when(F.col("_pos") < val, "val")
-                             .otherwise("test")).drop("_pos", "_h")
+    """Exact train/val/test sizes over rows ranked by seeded hash; adds ``split``.
+
+    Only the two border keys are looked up, so the rows themselves are never sorted or moved.
+    """
+    hashed = df.withColumn("_h", seeded_hash(spec.seed, key))
+    n = df.count()
+    train = int(n * spec.train_frac)
+    val = train + int(n * spec.val_frac)
+    at = keys_at_ranks(hashed, "_h", key, [train, val])
+    return hashed.withColumn("split", F.when(precedes("_h", key, at.get(train)), "train").when(
+        precedes("_h", key, at.get(val)), "val").otherwise("test")).drop("_h")
 
 
 def temporal_bounds(n: int, spec: SplitSpec = SplitSpec()) -> dict[str, tuple[int, int]]:
@@ -69,27 +73,41 @@ def temporal_bounds(n: int, spec: SplitSpec = SplitSpec()) -> dict[str, tuple[in
     return blocks
 
 
+def _by_blocks(df: DataFrame, order: Sequence[str], blocks: Sequence[tuple[str, int]], rest: str) -> Column:
+    """Name of the block a row falls into; ``blocks`` are (name, end rank) in rank order."""
+    first, tie = order[0], order[-1]
+    at = keys_at_ranks(df, first, tie, [end for _, end in blocks])
+    out = F.lit(rest)
+    for name, end in reversed(blocks):
+        out = F.when(F.lit(False) if end <= 0 else precedes(first, tie, at.get(end)), F.lit(name)).otherwise(out)
+    return out
+
+
 def split_temporal(df: DataFrame, order: Sequence[str], spec: SplitSpec = SplitSpec()) -> DataFrame:
-    """Contiguous blocks in time order; rows in the buffers get ``buffer``."""
-    bounds = temporal_bounds(df.count(), spec)
-    split = F.lit("buffer")
-    for name, (lo, hi) in bounds.items():
-        split = F.when((F.col("_pos") >= lo) & (F.col("_pos") < hi), F.lit(name)).otherwise(split)
-    return positions(df, order, name="_pos").withColumn("split", split).drop("_pos")
+    """Contiguous blocks in time order; rows in the buffers get ``buffer``.
+
+    ``order`` is an integer time column and, unless that is unique, a tie-break.
+    """
+    bounds = sorted(temporal_bounds(df.count(), spec).items(), key=lambda kv: kv[1])
+    blocks, at = [], 0
+    for name, (lo, hi) in bounds:
+        if hi > lo:
+            blocks += [("buffer", lo)] if lo > at else []
+            blocks.append((name, hi))
+            at = hi
+    return df.withColumn("split", _by_blocks(df, order, blocks, "buffer"))
 
 
 def split_unseen(df: DataFrame, order: Sequence[str], held_out: Column, train_frac: float = 0.85,
                  buffer: int = 14) -> DataFrame:
     """Held-out rows become the test set; the others split in time with a buffer."""
-    marked = df.withColumn("_held", F.coalesce(held_out, F.lit(False)))
-    known = marked.filter(~F.col("_held"))
+    held = F.coalesce(held_out, F.lit(False))
+    known = df.filter(~held)
     n = known.count()
     gap = max(0, min(buffer, n - 2))
     train = max(1, int(n * train_frac))
-    placed = positions(known, order, name="_pos")
-    split = (F.when(F.col("_pos") < train, "train").when(F.col("_pos") < train + gap, "buffer").otherwise("val"))
-    return (placed.withColumn("split", split).drop("_pos")
-            .unionByName(marked.filter("_held").withColumn("split", F.lit("test"))).drop("_held"))
+    block = _by_blocks(known, order, [("train", train), ("buffer", train + gap)], "val")
+    return df.withColumn("split", F.when(held, "test").otherwise(block))
 
 
 def held_out_flag(label, names: Sequence[str]) -> Column:

@@ -161,10 +161,15 @@ def snapshots_with_empty(df: DataFrame, spec: WindowSpec = WindowSpec(), min_row
 def stage_mode(df: DataFrame, spec: WindowSpec = WindowSpec()) -> DataFrame:
     """Most frequent stage (smaller wins ties) and mean confidence per window."""
     per_stage = assign(df.select("ts_us", "mitre_stage_id", "mitre_confidence"), spec, origin(df)).groupBy(
-        "window_id", "mitre_stage_id").agg(F.count("*").alias("n"), F.sum("mitre_confidence").alias("c"))
+        "window_id", "mitre_stage_id").agg(F.count("*").alias("n"), _confidence_sum("mitre_confidence").alias("c"))
     return per_stage.groupBy("window_id").agg(
         F.max_by("mitre_stage_id", F.struct(F.col("n"), -F.col("mitre_stage_id"))).alias("stage"),
-        (F.sum("c") / F.sum("n")).alias("confidence"))
+        (F.sum("c").cast("double") / F.sum("n")).alias("confidence"))
+
+
+def _confidence_sum(value) -> Column:
+    """Exact sum: confidences are short decimals, so the result does not depend on row order."""
+    return F.sum((F.col(value) if isinstance(value, str) else value).cast("decimal(18,6)"))
 
 
 def attack_label(df: DataFrame, spec: WindowSpec = WindowSpec(), min_malicious: int = 1) -> DataFrame:
@@ -176,9 +181,9 @@ def attack_label(df: DataFrame, spec: WindowSpec = WindowSpec(), min_malicious:
     """
     per_stage = assign(df.select("ts_us", "mitre_stage_id", "mitre_confidence"), spec, origin(df)).groupBy(
         "window_id", F.coalesce("mitre_stage_id", F.lit(0)).alias("s")).agg(
-        F.count("*").alias("n"), F.sum(F.coalesce("mitre_confidence", F.lit(0.5))).alias("c"))
+        F.count("*").alias("n"), _confidence_sum(F.coalesce("mitre_confidence", F.lit(0.5))).alias("c"))
     bad = F.col("s") > 0
-    mean = F.col("c") / F.col("n")
+    mean = F.col("c").cast("double") / F.col("n")
     agg = per_stage.groupBy("window_id").agg(
         F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("n_bad"),
         F.max_by(F.struct(F.col("s"), mean.alias("m")),

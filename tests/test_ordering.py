@@ -77,3 +77,33 @@ def test_unseen_split_holds_out_whole_stage(spark):
     rows = {(r.split): r.n for r in out.groupBy("split").agg(F.count("*").alias("n")).collect()}
     assert rows["test"] == 10 and rows["train"] == 76 and rows["buffer"] == 5 and rows["val"] == 9
     assert out.filter("split <> 'test' and stage = 6").count() == 0
+
+
+def test_keys_at_ranks(spark):
+    rows, df = skewed(spark)
+    order = sorted((r[2], r[0]) for r in rows)
+    got = ordering.keys_at_ranks(df, "v", "id", [0, 1, 777, 1999, 2000], bins=16)
+    assert got == {k: order[k] for k in (0, 1, 777, 1999)}
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 19, 50, 3000])
+def test_quantiles_on_small_and_tied_columns(spark, n):
+    xs = [float((i * 7919) % max(n // 2, 1)) for i in range(n)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    qs = [0.0, 0.25, 0.5, 0.95, 0.99, 1.0]
+    r = ordering.exact_quantiles(df, ["x"], qs).first()
+    assert [r[f"q{i}"] for i in range(len(qs))] == pytest.approx(np.quantile(xs, qs).tolist())
+
+
+def test_random_split_sizes(spark):
+    out = sampling.split_random(spark.range(1001), "id")
+    assert {r.split: r["count"] for r in out.groupBy("split").count().collect()} == {"train": 700, "val": 150, "test": 151}
+
+
+@pytest.mark.parametrize("n", [1, 3, 5, 6, 20, 100])
+def test_temporal_split_rows(spark, n):
+    spec = sampling.SplitSpec(buffer=5)
+    df = spark.range(n).select((F.col("id") * 3 + 7).alias("ts"))
+    got = {(r.ts - 7) // 3: r.split for r in sampling.split_temporal(df, ["ts"], spec).collect()}
+    want = {i: name for name, (lo, hi) in sampling.temporal_bounds(n, spec).items() for i in range(lo, hi)}
+    assert got == {i: want.get(i, "buffer") for i in range(n)}
