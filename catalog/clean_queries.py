@@ -3,14 +3,13 @@
 from pyspark.sql import functions as F
 
 from catalog import derived
-from catalog.common import PACKETS, labelled, private, r6, register, rounded, typed
+from catalog.common import PACKETS, private, r6, register, rounded
 from catalog.label_sql import ANNOTATED
-from catalog.topology_queries import CAP, NVD, cve_items
+from catalog.topology_queries import NVD, cve_items
 from catalog.window_queries import MAL, SEQSTAGE, SPEC, VALID_A, pw
 from packetloom import fixed_values as fv
-from packetloom.config import SplitSpec
 from packetloom.functions.columns import finite_or, private_ip
-from packetloom.operators import adapters, cleaning, graph, knowledge, labels, sampling, sequences
+from packetloom.operators import adapters, cleaning, knowledge, labels, sampling, sequences
 from packetloom.sources.telemetry import packets, table
 
 # Vendor table with original headers: rates are text with infinities and gaps.

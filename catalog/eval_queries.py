@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from catalog.common import PACKETS, labelled, r6, register, rounded, typed
+from catalog.common import PACKETS, r6, register, rounded
 from catalog.graph_queries import r6cols
 from catalog.label_sql import ANNOTATED, HCONF, HSTAGE, HTECH, MAPPED, NAMES
-from catalog.window_queries import AW, B, GROUND, LAB, MODE, SEQ, SEQSTAGE, SPEC, TELE, TGT, pw
+from catalog.window_queries import AW, GROUND, MODE, SPEC
 from packetloom import fixed_values as fv
 from packetloom.operators import evaluation as ev
 from packetloom.operators import labels, sequences, windows

@@ -1,6 +1,5 @@
 """Packets to flows (2.4)."""
 
-from pyspark.sql import functions as F
 
 from catalog.common import CANON, PACKETS, RETRANS, r6, register, rounded, typed
 from packetloom.operators import flows

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog import derived
-from catalog.common import PACKETS, RETRANS, labelled, private, r6, register, rounded, typed
+from catalog.common import PACKETS, RETRANS, private, r6, register, rounded
 from catalog.flow_queries import CANON
 from catalog.window_queries import B, pw
 from packetloom import fixed_values as fv

@@ -1,17 +1,15 @@
 """Sources and sinks (2.1) and streaming (2.12), over data Spark derives from the given tables."""
 
-import json
 
 from pyspark.sql import functions as F
 
 from catalog import derived
-from catalog.clean_queries import VEN, ZEEK_OUT, vendor
-from catalog.common import PACKETS, r6, register, rounded, typed
-from catalog.eval_queries import CONF, MODELS, PRF, RATES, auc_sql, model_scores, report_sql
+from catalog.clean_queries import VEN, vendor
+from catalog.common import PACKETS, r6, register, rounded
+from catalog.eval_queries import MODELS, RATES, model_scores, report_sql
 from catalog.flow_queries import CANON
 from catalog.graph_queries import r6cols
 from catalog.label_sql import HCONF, HSTAGE, HTECH
-from packetloom.operators import adapters, cleaning
 from packetloom.operators import evaluation as ev
 from packetloom.session import scratch_path
 from packetloom.sources import captures, tables

@@ -2,9 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from catalog.common import PACKETS, labelled, private, r6, register, rounded, typed
+from catalog.common import PACKETS, labelled, private, r6, register, rounded
 from catalog.flow_queries import CANON
-from catalog.graph_queries import r6cols
 from packetloom import fixed_values as fv
 from packetloom.operators import flows, knowledge, topology
 from packetloom.session import scratch_path

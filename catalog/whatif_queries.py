@@ -2,13 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from catalog.common import PACKETS, RETRANS, labelled, private, r6, register, rounded, typed
-from catalog.eval_queries import NAMES, PORTS_BY_WINDOW, SCORED, VERDICT, scored, window_verdicts
-from catalog.flow_queries import CANON
+from catalog.common import PACKETS, RETRANS, r6, register, rounded
+from catalog.eval_queries import NAMES, SCORED, VERDICT, scored, window_verdicts
 from catalog.graph_queries import EDGES, NODES, RW, SOFT, r6cols, retrans_packets, scored_edges
 from catalog.label_sql import ANNOTATED
-from catalog.topology_queries import EDGE_SQL, ROLES, SEG, capture_risk, flow_rows, hosts, port_name_sql
-from catalog.window_queries import AW, B, MODE, PW, SEQSTAGE, SPEC, TELE, pw
+from catalog.topology_queries import EDGE_SQL, ROLES, capture_risk, flow_rows, hosts, port_name_sql
+from catalog.window_queries import B, PW, SEQSTAGE, SPEC, TELE, pw
 from packetloom import fixed_values as fv
 from packetloom.operators import attribution, baseline, flows, graph, labels, products, sequences, topology, whatif, windows
 from packetloom.sources.telemetry import packets, table
@@ -229,12 +228,7 @@ def _(spark, sf):
  SELECT window_id, floor(((window_id * 37) % 1001) / 1000.0::DOUBLE * 10000.0 + 0.5) / 10000.0 AS infiltration_prob, top_feature, top_src, CAST(n_edges AS INTEGER) AS n_edges FROM b JOIN e USING (window_id)""")
 def _(spark, sf):
     top = attribution.top_edges(scored_edges(spark, sf))
-    feats = attribution.global_features(top).groupBy("window_id").agg(F.array_sort(F.collect_list(F.struct(
-        (-F.col("contribution")).alias("k"), "feature", "contribution"))).alias("features"))
-    # at most five edges per window remain here
-    edges = top.groupBy("window_id").agg(F.array_sort(F.collect_list(F.struct(
-        (-F.col("attention")).alias("k"), "src_ip", "dst_ip", "attention", "top_features"))).alias("edges"))
-    rows = edges.join(feats, "window_id").select(
+    rows = attribution.explain_windows(top).select(
         "window_id", (F.pmod(F.col("window_id") * 37, F.lit(1001)) / F.lit(1000.0)).alias("infiltration_prob"), F.lit(0.05).alias("uncertainty_std"),
         F.lit(1).alias("stage"), labels.stage_name(F.lit(1)).alias("stage_name"), labels.technique_of_stage(F.lit(1)).alias("technique"), "features", "edges")
     doc = rows.select("window_id", attribution.report_json(rows).alias("doc"))

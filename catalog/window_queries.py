@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.common import PACKETS, RETRANS, labelled, private, r6, register, rounded, typed
+from catalog.common import PACKETS, r6, register, rounded
 from catalog.label_sql import ANNOTATED
 from packetloom.config import WindowSpec
 from packetloom.operators import labels, sequences, windows

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom import fixed_values as fv
-from packetloom.functions.columns import col, q6
+from packetloom.functions.columns import q6
 from packetloom.operators.ordering import first_n
 
 NAMED = fv.EDGE_FEATURES[:12]
@@ -36,6 +36,24 @@ def global_features(flagged: DataFrame, k: int = 5) -> DataFrame:
     return first_n(ranked, ["window_id"], ["_k", "feature"], k, salt=F.lit(0), salts=1).drop("_k")
 
 
+def explain_windows(top: DataFrame, k: int = 5) -> DataFrame:
+    """One row per window with its flagged edges and leading features as arrays.
+
+    A window holds a handful of flagged edges, so features are averaged inside the row.
+    """
+    edges = top.groupBy("window_id").agg(F.array_sort(F.collect_list(F.struct(
+        (-F.col("attention")).alias("key"), "src_ip", "dst_ip", "attention", "top_features"))).alias("edges"))
+    flat = F.flatten(F.transform("edges", lambda e: e["top_features"]))
+    named = edges.withColumn("_flat", flat).withColumn("_names", F.array_distinct(F.transform("_flat", lambda f: f["name"])))
+
+    def mean(name: Column) -> Column:
+        mine = F.filter("_flat", lambda f: f["name"] == name)
+        return F.aggregate(mine, F.lit(0.0), lambda a, f: a + F.abs(f["value"])) / F.size(mine)
+
+    means = F.transform("_names", lambda n: F.struct((-mean(n)).alias("key"), n.alias("feature"), mean(n).alias("contribution")))
+    return named.select("window_id", "edges", F.slice(F.array_sort(means), 1, k).alias("features"))
+
+
 def window_share(importance: DataFrame) -> DataFrame:
     """Share of each window in its sequence's importance and the most critical one.
 

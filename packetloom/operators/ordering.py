@@ -105,7 +105,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], qs: Sequence[float])
         aggs += [value_at(F.floor(pos)).alias(f"_lo{i}"), value_at(F.ceil(pos)).alias(f"_hi{i}")]
         frac = pos - F.floor(pos)
         outs.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * frac).alias(f"q{i}"))
-    return placed.groupBy("column", "n", "max_value").agg(*aggs).select("column", "n", "max_value", *outs)
+    # callers read several single values from this table, so its few rows are computed once
+    return cut(placed.groupBy("column", "n", "max_value").agg(*aggs).select("column", "n", "max_value", *outs))
 
 
 def keys_at_ranks(df: DataFrame, order: str, tie: str, ranks: Sequence[int], bins: int = 65_536) -> dict[int, tuple]:
