@@ -231,7 +231,8 @@ def gap_stats(df: DataFrame, keys: Sequence[str], ts: str = "ts_us",
         aggs += [
             F.sum(f"_n_{t}").alias(f"n_{t}"), F.min(f"_at_{t}").alias(f"first_{t}"),
             F.max(f"_at_{t}").alias(f"last_{t}"),
-            F.sum(gap.cast(dec) * gap.cast(dec)).alias(f"sq_{t}"),
+            # gaps of a slice add up to less than its width, so their squares fit a BIGINT
+            F.sum(gap * gap).alias(f"sq_{t}"),
             F.greatest(F.max(gap), F.max(twin)).alias(f"max_{t}"),
             F.least(F.min(gap), F.min(twin)).alias(f"min_{t}"),
         ]
@@ -248,7 +249,7 @@ def gap_stats(df: DataFrame, keys: Sequence[str], ts: str = "ts_us",
             merged += [
                 F.sum(f"n_{t}").alias(f"n_{t}"), F.min(f"first_{t}").alias(f"first_{t}"),
                 F.max(f"last_{t}").alias(f"last_{t}"),
-                F.sum(F.coalesce(F.col(f"sq_{t}"), F.lit(0)) +
+                F.sum(F.coalesce(F.col(f"sq_{t}"), F.lit(0)).cast(dec) +
                       F.coalesce(edge.cast(dec) * edge.cast(dec), F.lit(0))).alias(f"sq_{t}"),
                 F.max(F.greatest(f"max_{t}", edge)).alias(f"max_{t}"),
                 F.min(F.least(f"min_{t}", edge)).alias(f"min_{t}"),
@@ -258,7 +259,7 @@ def gap_stats(df: DataFrame, keys: Sequence[str], ts: str = "ts_us",
     for t in tracks:
         n = F.col(f"n_{t}") - 1
         span = (F.col(f"last_{t}") - F.col(f"first_{t}")).cast(dec)
-        spread = (n.cast("decimal(19,0)") * F.col(f"sq_{t}") - span * span).cast("double")
+        spread = (n.cast("decimal(19,0)") * F.col(f"sq_{t}").cast("decimal(38,0)") - span * span).cast("double")
         some = n > 0
         zero = F.lit(0.0)
         out += [
