@@ -345,5 +345,5 @@ def _(spark, sf):
 
 @register("ml_logistic_score")
 def _(spark, sf):
-    matrix = flow_matrix(spark, sf).persist()
+    matrix = flow_matrix(spark, sf)
     return rounded(baseline.evaluate(baseline.fit(matrix), matrix), "f1", "precision", "recall", "fpr", "accuracy", "auroc", "brier_score", "ece")

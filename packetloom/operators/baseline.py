@@ -46,7 +46,8 @@ def training_sample(matrix: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
 
 def fit(matrix: DataFrame, max_rows: int = MAX_ROWS) -> PipelineModel:
     """Standard scaling and class-balanced logistic regression with unit L2 penalty."""
-    sample = training_sample(matrix, max_rows).persist()
+    cached = matrix.persist()  # counted and sampled; the iterations only touch the sample
+    sample = training_sample(cached, max_rows).persist()
     row = sample.agg(F.count("*").alias("n"), F.sum("y_true").alias("pos")).first()
     n, pos = row["n"], row["pos"] or 0.0
     own = F.when(F.col("y_true") > 0.5, F.lit(max(pos, 1.0))).otherwise(F.lit(max(n - pos, 1.0)))
@@ -59,6 +60,7 @@ def fit(matrix: DataFrame, max_rows: int = MAX_ROWS) -> PipelineModel:
                            regParam=1.0 / max(n, 1), standardization=False),
     ]).fit(weighted)
     sample.unpersist()
+    cached.unpersist()
     return model
 
 
