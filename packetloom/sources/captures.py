@@ -30,29 +30,32 @@ TCP, UDP = 6, 17
 FLAG_BITS = {"fin": 0x01, "syn": 0x02, "rst": 0x04, "psh": 0x08, "ack": 0x10, "urg": 0x20}
 
 
-def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["path", "frame_no", "ts_us", "link_type", "frame"]
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            order, unit = MAGICS.get(bytes(content[:4]), ("<", 1_000_000))
-            if len(content) < 24:
-                continue
-            link = struct.unpack_from(order + "I", content, 20)[0]
-            header, at, number, rows = struct.Struct(order + "IIII"), 24, 0, []
-            while at + 16 <= len(content):
-                sec, frac, kept, _ = header.unpack_from(content, at)
-                rows.append((path, number, sec * 1_000_000 + frac * 1_000_000 // unit, link, bytes(content[at + 16:at + 16 + kept])))
-                at, number = at + 16 + kept, number + 1
-                if len(rows) >= BATCH:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=names)
+def split_frames(files: DataFrame) -> DataFrame:
+    """One row per captured frame from ``path``, ``content`` rows.
+
+    The splitter is a local function, so Spark ships its code and workers need no package.
+    """
 
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["path", "frame_no", "ts_us", "link_type", "frame"]
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                order, unit = MAGICS.get(bytes(content[:4]), ("<", 1_000_000))
+                if len(content) < 24:
+                    continue
+                link = struct.unpack_from(order + "I", content, 20)[0]
+                header, at, number, rows = struct.Struct(order + "IIII"), 24, 0, []
+                while at + 16 <= len(content):
+                    sec, frac, kept, _ = header.unpack_from(content, at)
+                    rows.append((path, number, sec * 1_000_000 + frac * 1_000_000 // unit, link, bytes(content[at + 16:at + 16 + kept])))
+                    at, number = at + 16 + kept, number + 1
+                    if len(rows) >= BATCH:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=names)
 
-def split_frames(files: DataFrame) -> DataFrame:
-    """One row per captured frame from ``path``, ``content`` rows."""
-    return files.select("path", "content").mapInPandas(_split, FRAME_SCHEMA)
+    return files.select("path", "content").mapInPandas(split, FRAME_SCHEMA)
 
 
 def uint(frame: Column | str, offset: Column | int, size: int) -> Column:

@@ -82,25 +82,26 @@ MEMORY_SCHEMA = "ip string, start_us bigint, memory double, n_windows bigint"
 STATE_SCHEMA = "memory double, n_windows bigint"
 
 
-def _remember(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    memory, seen = state.get if state.exists else (0.0, 0)
-    rows = pd.concat(list(batches)).sort_values("start_us")
-    out = []
-    for start, value in zip(rows["start_us"], rows["value"]):
-        memory, seen = DECAY * memory + (1 - DECAY) * float(value), seen + 1
-        out.append((key[0], int(start), memory, seen))
-    state.update((memory, seen))
-    yield pd.DataFrame(out, columns=["ip", "start_us", "memory", "n_windows"])
-
-
 def host_memory(windows: DataFrame) -> DataFrame:
     """Decayed mean of a host feature carried across windows; silent hosts keep their state.
 
     Input is one row per (host, window) with ``ip, start_us, value``, already closed by a
-    watermark, so a trigger hands each host only its new windows.
+    watermark, so a trigger hands each host only its new windows. The state function is
+    local, so Spark ships its code and workers need no package.
     """
+
+    def remember(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        memory, seen = state.get if state.exists else (0.0, 0)
+        rows = pd.concat(list(batches)).sort_values("start_us")
+        out = []
+        for start, value in zip(rows["start_us"], rows["value"]):
+            memory, seen = DECAY * memory + (1 - DECAY) * float(value), seen + 1
+            out.append((key[0], int(start), memory, seen))
+        state.update((memory, seen))
+        yield pd.DataFrame(out, columns=["ip", "start_us", "memory", "n_windows"])
+
     return windows.groupBy("ip").applyInPandasWithState(
-        _remember, MEMORY_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+        remember, MEMORY_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
 
 def host_windows(stream: DataFrame, spec: WindowSpec = WindowSpec(), delay: str = "10 seconds") -> DataFrame:

@@ -151,3 +151,27 @@ def test_sorted_sink_is_globally_ordered(spark, tmp_path):
     tables.write_sorted(df, str(tmp_path / "t"), partitions=4)
     spans = spark.read.parquet(str(tmp_path / "t")).groupBy(F.input_file_name().alias("f")).agg(F.min("ts_us").alias("a"), F.max("ts_us").alias("b")).orderBy("a").collect()
     assert len(spans) > 1 and all(x.b < y.a for x, y in zip(spans, spans[1:]))
+
+
+
+def test_worker_code_travels_without_the_package(tmp_path):
+    """Python workers started elsewhere cannot import the package, so its functions must be shipped by value."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "job.py"
+    script.write_text(f"""
+import sys
+sys.path.insert(0, {root!r})
+from packetloom.session import build_session
+from packetloom.sources import captures
+spark = build_session(master="local[1]", **{{"spark.checkpoint.dir": {str(tmp_path / 'c')!r}}})
+df = spark.createDataFrame([("c", bytearray(bytes.fromhex({capture([eth(tcp())]).hex()!r})))], "path string, content binary")
+assert captures.read_packets(df).count() == 1
+spark.stop()
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]
