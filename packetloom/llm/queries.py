@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import ann, decontamination, line_dedup, packing, secrets, simhash_dedup, warc
+import corpus_pipeline
+from packetloom.llm import ann, decontamination, line_dedup, packing, pii, quality, secrets, simhash_dedup, toxicity, warc
 from packetloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +41,10 @@ FROM dw d LEFT JOIN words USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.scan(table(spark, sf_dir, "documents")))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,14 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "vec_id")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -75,5 +88,7 @@ FROM m
 """
 
 QUERIES: dict[str, Query] = {"op1_secrets": op1_secrets, "op2_decontamination": op2_decontamination, "op3_neighbours": op3_neighbours,
-                             "op5_line_dedup": op5_line_dedup, "op6_simhash_dedup": op6_simhash_dedup, "op9_packing": op9_packing, "op10_warc": op10_warc}
+                             "op4_pii": op4_pii, "op5_line_dedup": op5_line_dedup, "op6_simhash_dedup": op6_simhash_dedup, "op7_quality": op7_quality, "op8_toxicity": op8_toxicity,
+                             "op9_packing": op9_packing, "op10_warc": op10_warc,
+                             "pipeline": corpus_pipeline.run}
 ORACLE: dict[str, str] = {"op2_decontamination": OP2_SQL, "op10_warc": OP10_SQL}

@@ -117,25 +117,39 @@ def links(classes: DataFrame) -> DataFrame:
     return replicas.join(homes, (replicas["anchor"] == homes["anchor"]) & (F.col("a") < F.col("b")) & near).select("a", "b")
 
 
+def rooted(prints: DataFrame) -> DataFrame:
+    """``fingerprint``, ``root`` of every distinct fingerprint; linked ones share a root."""
+    classes = prints.select("fingerprint").distinct()
+    roots = components(links(classes)).withColumnRenamed("node", "fingerprint")
+    return classes.join(roots, "fingerprint", "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``fingerprint`` (long), ``component_id`` (smallest doc_id reachable over links).
 
-    Every input row returns once. Repeated ids are rows of their own with a common answer; a null id
-    belongs to its component but never names it unless all ids there are null (then null).
+    Every input row returns once. Repeated ids are rows of their own; a null id belongs to its
+    component but names it only where all ids are null (the name is then null).
     """
     prints = saved(fingerprints(docs), "fingerprints")
-    classes = prints.groupBy("fingerprint").agg(F.min("id").alias("least_id"))
-    roots = components(links(classes)).withColumnRenamed("node", "fingerprint")
-    rooted = classes.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    answer = rooted.join(named, "root").select("fingerprint", "component_id")
+    least = prints.groupBy("fingerprint").agg(F.min("id").alias("least_id"))
+    classes = least.join(rooted(prints), "fingerprint")
+    named = classes.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    answer = classes.join(named, "root").select("fingerprint", "component_id")
     return prints.join(answer, "fingerprint").select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that name their component; a row without an id is always kept, repeated rows of a kept id once."""
-    found = near_duplicates(docs.select("doc_id", "text"))
-    losers = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(losers, "doc_id", "left_anti")
-    numbered = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return numbered.unionByName(kept.filter("doc_id is null"))
+    """One row of every component, columns unchanged: the smallest doc_id, null ids last, then the smallest row hash.
+
+    Only rows with equal id and text share that hash; one of them stays.
+    """
+    rows = docs.withColumn("_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    prints = saved(fingerprints(rows, "_key"), "fingerprints")
+    keyed = prints.groupBy(F.col("id").alias("_key"), "fingerprint").agg(F.count("*").alias("copies"))
+    ids = rows.select("_key", "doc_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_key", "copies")
+    first = keyed.join(ids, "_key").join(rooted(prints), "fingerprint").groupBy("root").agg(F.min(order).alias("first"))
+    kept = saved(first.select("first._key", "first.copies"), "kept")
+    single = rows.join(kept.filter("copies = 1"), "_key", "left_semi")
+    repeated = rows.join(kept.filter("copies > 1"), "_key", "left_semi").dropDuplicates(["_key"])
+    return single.unionByName(repeated).select(*docs.columns)
