@@ -99,6 +99,12 @@ def calibrate(index: Index, found: list[Counter], share: float) -> None:
     index.curve = beta
 
 
+def constant(sizes: dict[int, int]) -> Index:
+    """No vocabulary: every text gets the share of toxic labels (one half without labels)."""
+    rate = min(max(sizes.get(1, 0) / max(1, sum(sizes.values())), 0.01), 0.99) if sizes else 0.5
+    return Index({}, np.zeros(0), np.zeros((0, 0), np.float32), np.zeros(0, int), np.zeros(0), np.array([np.log(rate / (1 - rate)), 0, 0]), rate)
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, max_terms: int = MAX_TERMS) -> Index:
     """Index of at most ``max_per_class`` labelled examples per class outside the held-out part, first by a hash of the id.
 
@@ -109,8 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS,
     sizes = {r["toxic"]: r["count"] for r in own.groupBy("toxic").count().collect()}
     total = docs.count()
     if len(sizes) < 2 or not total:
-        rate = min(max(sizes.get(1, 0) / max(1, sum(sizes.values())), 0.01), 0.99) if sizes else 0.5
-        return Index({}, np.zeros(0), np.zeros((0, 0), np.float32), np.zeros(0, int), np.zeros(0), np.array([np.log(rate / (1 - rate)), 0, 0]), rate)
+        return constant(sizes)
     order = (F.xxhash64("doc_id"), "doc_id")
     chosen = None
     for label in (0, 1):
@@ -151,6 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS,
 
     rows = map_rows(sample, ["doc_id", "toxic", "text"], start_counts, "doc_id long, toxic int, terms array<int>, n array<int>").collect()
     rows = [r for r in rows if r["terms"]]
+    if not rows:
+        return constant(sizes)
     top = {r["doc_id"]: int(max(zip(r["n"], r["terms"]))[1]) for r in rows}
     rows.sort(key=lambda r: (top[r["doc_id"]], r["doc_id"], r["toxic"], sorted(zip(r["terms"], r["n"]))))  # alike examples share a block
     found = [Counter(dict(zip(r["terms"], r["n"]))) for r in rows]

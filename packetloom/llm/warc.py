@@ -48,7 +48,7 @@ def balanced_ranges(keys: DataFrame, column: str, weight: str, parts: int, bins:
     while todo:
         step = {a: (b - a) // bins + 1 for a, b in todo}
         edges = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"), F.lit(step[a]).cast("long").alias("step")) for a, b in todo])
-        own = F.filter(edges, lambda e: (e["a"] <= F.col(column)) & (F.col(column) <= e["b"]))[0]
+        own = F.get(F.filter(edges, lambda e: (e["a"] <= F.col(column)) & (F.col(column) <= e["b"])), 0)
         start = own["a"] + F.floor((F.col(column) - own["a"]) / own["step"]).cast("long") * own["step"]
         sums = (keys.filter(own.isNotNull()).groupBy(own["a"].alias("a"), start.alias("start")).agg(F.sum(weight).alias("w")).collect())
         todo = []
