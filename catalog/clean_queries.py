@@ -230,7 +230,7 @@ def _(spark, sf):
 
 
 IPS = r"""x AS (SELECT doc_id, regexp_extract_all(text, '\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b') AS m FROM documents),
- d AS (SELECT doc_id, list_filter(m, lambda e, i: list_position(m, e) = i)[1:10] AS ips FROM x),
+ d AS (SELECT doc_id, list_filter(m, lambda e, i: list_position(m, e) = i) AS ips FROM x),
  s AS (SELECT *, list_filter(ips, lambda e: starts_with(e, '10.') OR starts_with(e, '192.168.') OR starts_with(e, '172.')) AS a,
    list_filter(ips, lambda e: NOT (starts_with(e, '10.') OR starts_with(e, '192.168.') OR starts_with(e, '172.'))) AS b FROM d)"""
 ONE = "len(ips) > 1 AND (len(a) = 0 OR len(b) = 0)"

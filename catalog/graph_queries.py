@@ -153,8 +153,8 @@ def _(spark, sf):
     return rounded(out, *[c for c in out.columns if c != "ip"])
 
 
-SOFT = EDGES + """, mx AS (SELECT window_id, max(log_byte_volume) AS m FROM ef GROUP BY ALL),
- sx AS (SELECT ef.*, exp(log_byte_volume - m) AS e FROM ef JOIN mx USING (window_id)),
+SOFT = EDGES + """, mx AS (SELECT window_id, dst_ip, max(log_byte_volume) AS m FROM ef GROUP BY ALL),
+ sx AS (SELECT ef.*, exp(log_byte_volume - m) AS e FROM ef JOIN mx USING (window_id, dst_ip)),
  sm AS (SELECT *, e / (sum(e) OVER (PARTITION BY window_id, dst_ip) + 1e-16) AS attention FROM sx)"""
 
 

@@ -197,7 +197,7 @@ def cve_items(spark, sf):
 CVE_SQL = ", ".join(f"{e} AS {n}" for n, e in CVSS.items()).replace("STRING", "VARCHAR")
 NVD = f"""it AS (SELECT {CVE_ID.replace('STRING', 'VARCHAR')} AS cve_id, p_partkey % 7 < 6 AS has, {CVE_SQL}, (p_partkey % 40) / 10.0 AS ex, (p_size % 60) / 10.0 AS im,
   'CWE-' || p_size AS cwe, 'cpe:' || lower(replace(p_brand, '#', '')) || ':prod' || (p_size % 7) AS cpe1,
-  substr('legacy-product-name-number-' || (p_partkey % 50) || '-xxxxxxxx', 1, 30) AS cpe2 FROM part),
+  'legacy-product-name-number-' || (p_partkey % 50) || '-xxxxxxxx' AS cpe2 FROM part),
  x AS (SELECT cve_id, CASE WHEN has THEN baseScore ELSE 5.0 END AS sc, CASE WHEN has THEN ex ELSE 5.0 END AS ex, CASE WHEN has THEN im ELSE 5.0 END AS im,
   CASE WHEN NOT has THEN 0 WHEN attackVector = 'NETWORK' THEN 0 WHEN starts_with(attackVector, 'ADJ') THEN 1 WHEN attackVector = 'LOCAL' THEN 2 ELSE 3 END AS av,
   has AND attackComplexity = 'HIGH' AS ac, CASE WHEN NOT has OR privilegesRequired = 'NONE' THEN 0 WHEN privilegesRequired = 'LOW' THEN 1 ELSE 2 END AS pr,

@@ -68,6 +68,7 @@ def score(model: PipelineModel, matrix: DataFrame) -> DataFrame:
     return model.transform(matrix).select("flow_key", "y_true", vector_to_array("probability")[1].alias("y_prob"))
 
 
-def evaluate(model: PipelineModel, matrix: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    scored = score(model, training_sample(matrix, max_rows)).withColumn("model", F.lit("logistic"))
+def evaluate(model: PipelineModel, matrix: DataFrame) -> DataFrame:
+    """Quality report over every row of the matrix; only fitting is bounded."""
+    scored = score(model, matrix).withColumn("model", F.lit("logistic"))
     return evaluation.report(scored)

@@ -127,7 +127,6 @@ def clean_flows(df: DataFrame, order: Sequence[str] = ("timestamp",)) -> DataFra
     return dedupe_flows(out, [*[o for o in order if o in out.columns], *[c for c in rest if c not in order]])
 
 
-SMALL_TOP = 10_000
 PROTOCOL_FILTERS = {"tcp": [6], "udp": [17], "tcp or udp": [6, 17], "ip": None}
 
 
@@ -139,9 +138,8 @@ def protocol_filter(df: DataFrame, expression: str) -> DataFrame:
 
 
 def first_packets(df: DataFrame, n: int) -> DataFrame:
-    """The first n packets in time order; a large n is narrowed by a time histogram first."""
-    near = df if n <= SMALL_TOP else head_rows(df, "ts_us", n)
-    return near.orderBy("ts_us", "pkt_id").limit(n)
+    """The first n packets in time order; narrowed by a time histogram first."""
+    return head_rows(df, "ts_us", n).orderBy("ts_us", "pkt_id").limit(n)
 
 
 def spread_minutes(df: DataFrame, minute: str, order: Sequence[str]) -> DataFrame:
@@ -211,12 +209,12 @@ IPV4_TEXT = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
 
 
 def extract_ips(text) -> Column:
-    """Struct of the first ten distinct IPv4 strings of a text and their inner/outer split.
+    """Struct of the distinct IPv4 strings of a text and their inner/outer split.
 
     When every address is outer, all but the first count as inner; when every address is
     inner, the first counts as outer.
     """
-    ips = F.slice(F.array_distinct(F.regexp_extract_all(col(text), F.lit(IPV4_TEXT), F.lit(0))), 1, 10)
+    ips = F.array_distinct(F.regexp_extract_all(col(text), F.lit(IPV4_TEXT), F.lit(0)))
 
     def inside(ip: Column) -> Column:
         return ip.startswith("10.") | ip.startswith("192.168.") | ip.startswith("172.")
@@ -224,7 +222,7 @@ def extract_ips(text) -> Column:
     inner, outer = F.filter(ips, inside), F.filter(ips, lambda ip: ~inside(ip))
     one_sided = (F.size(ips) > 1) & ((F.size(inner) == 0) | (F.size(outer) == 0))
     return F.struct(ips.alias("ips"),
-                    F.when(one_sided, F.slice(ips, 2, 10)).otherwise(inner).alias("inner"),
+                    F.when(one_sided, F.slice(ips, F.lit(2), F.size(ips))).otherwise(inner).alias("inner"),
                     F.when(one_sided, F.slice(ips, 1, 1)).otherwise(outer).alias("outer"))
 
 

@@ -221,9 +221,9 @@ def incident_mean(edges: DataFrame, columns: Sequence[str]) -> DataFrame:
 # -- relational message passing ----------------------------------------------------------------
 
 def edge_softmax(edges: DataFrame, score: str, by: str = "window_id") -> DataFrame:
-    """Normalise scores over each destination's incoming edges, shifted by the graph's maximum."""
-    top = edges.groupBy(by).agg(F.max(score).alias("_top"))
-    shifted = edges.join(top, by).withColumn("_e", F.exp(F.col(score) - F.col("_top")))
+    """Normalise scores over each destination's incoming edges, shifted by their own maximum, so they sum to one."""
+    top = edges.groupBy(by, "dst_ip").agg(F.max(score).alias("_top"))
+    shifted = edges.join(top, [by, "dst_ip"]).withColumn("_e", F.exp(F.col(score) - F.col("_top")))
     denom = shifted.groupBy(by, "dst_ip").agg(F.sum("_e").alias("_d"))
     return (shifted.join(denom, [by, "dst_ip"])
             .withColumn("attention", F.col("_e") / (F.col("_d") + F.lit(1e-16)))

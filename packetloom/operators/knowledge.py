@@ -71,7 +71,7 @@ def cve_links(items: DataFrame) -> DataFrame:
             .filter(F.length("c") > 0))
     parts = F.split("c", ":")
     short = F.when(F.size(parts) > 4, F.concat_ws(":", F.lit("cpe"), F.get(parts, F.lit(3)), F.get(parts, F.lit(4)))
-                   ).otherwise(F.substring("c", 1, 30))
+                   ).otherwise(F.col("c"))
     prod = crit.select("cve_id", short.alias("node"), F.lit("CPE").alias("kind"))
     return weak.unionByName(prod)
 

@@ -179,8 +179,12 @@ def first_n_by_hash(df: DataFrame, group: Sequence[str], hash_col: str, tie: str
     hist = bucketed.groupBy(*group, "_bucket").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
     upto = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # <= 65,536 rows
     needed = hist.withColumn("_before", F.coalesce(F.sum("_c").over(upto), F.lit(0))).filter(F.col("_before") < F.col("_n"))
-    last = needed.groupBy(*group).agg(F.max("_bucket").alias("_last"))
-    near = bucketed.join(last, list(group)).filter(F.col("_bucket") <= F.col("_last"))
+    # joined on group and bucket: a group with most of the table is spread over its buckets; null is a group of its own
+    keys = needed.select(*[F.col(g).alias(f"_k{i}") for i, g in enumerate(group)], F.col("_bucket").alias("_b"))
+    same = F.col("_bucket") == F.col("_b")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_k{i}"))
+    near = bucketed.join(keys, same, "left_semi")
     w = Window.partitionBy(*group).orderBy(hash_col, tie)
     return near.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= F.col("_n")).select(*df.columns)
 
@@ -193,13 +197,24 @@ def head_rows(df: DataFrame, order: str, n: int, bins: int = 65_536) -> DataFram
     lo, hi = df.agg(F.min(order), F.max(order)).first()
     if lo is None:
         return df
-    width = max((hi - lo) / bins, 1e-9)
-    hist = (df.groupBy(F.floor((F.col(order) - lo) / F.lit(float(width))).alias("_bin")).agg(F.count("*").alias("_c")))
-    upto = Window.partitionBy(F.lit(0)).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # <= bins rows
-    last = (hist.withColumn("_before", F.coalesce(F.sum("_c").over(upto), F.lit(0))).filter(F.col("_before") < n)
-            .agg(F.max("_bin")).first()[0])
+    lo, hi, need, inside = float(lo), float(hi), n, df
+    while True:
+        width = max((hi - lo) / bins, 1e-9)
+        bin_of = F.least(F.greatest(F.floor((F.col(order) - F.lit(lo)) / F.lit(width)), F.lit(0)), F.lit(bins))
+        hist = inside.filter(F.col(order).isNotNull()).groupBy(bin_of.alias("_bin")).agg(F.count("*").alias("_c"))
+        upto = Window.partitionBy(F.lit(0)).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # <= bins rows
+        found = (hist.withColumn("_before", F.coalesce(F.sum("_c").over(upto), F.lit(0))).filter(F.col("_before") + F.col("_c") >= need)
+                 .orderBy("_bin").first())
+        if found is None:
+            return df
+        start, end = lo + width * found["_bin"], lo + width * (found["_bin"] + 1)
+        # an outlier can put nearly all rows into one bin: look into that bin until few rows are in it
+        if found["_c"] <= max(n, bins) or end - start >= hi - lo or width <= 1e-9 or start + width / bins == start:
+            break
+        lo, hi, need = start, end, need - found["_before"]
+        inside = df.filter((F.col(order) >= F.lit(lo)) & (F.col(order) <= F.lit(hi)))
     # one extra bin keeps rows that rounding put on the border
-    return df.filter(F.col(order) <= F.lit(lo + width * (last + 2)))
+    return df.filter(F.col(order) <= F.lit(end + width))
 
 
 def gap_stats(df: DataFrame, keys: Sequence[str], ts: str = "ts_us",

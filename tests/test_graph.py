@@ -91,6 +91,12 @@ def test_softmax_sums_to_one(spark):
         assert r.s == pytest.approx(1.0)
 
 
+def test_softmax_sums_to_one_with_far_apart_scores(spark):
+    edges = spark.createDataFrame([(0, "a", "x", 1000.0), (0, "a", "y", 1.0), (0, "b", "y", 1.0)], "window_id int, src_ip string, dst_ip string, s double")
+    got = {(r.src_ip, r.dst_ip): r.attention for r in graph.edge_softmax(edges, "s").collect()}
+    assert got == {("a", "x"): pytest.approx(1.0), ("a", "y"): pytest.approx(0.5), ("b", "y"): pytest.approx(0.5)}
+
+
 def test_flow_rows_get_defaults(spark):
     flows = spark.createDataFrame([(0, "10.0.0.1", "10.0.0.2", 80, 500), (1, "10.0.0.2", "10.0.0.1", 9, 50)], "ts_us bigint, src_ip string, dst_ip string, dst_port int, payload_size bigint")
     for r in graph.edge_features(flows, SPEC).collect():

@@ -107,3 +107,15 @@ def test_temporal_split_rows(spark, n):
     got = {(r.ts - 7) // 3: r.split for r in sampling.split_temporal(df, ["ts"], spec).collect()}
     want = {i: name for name, (lo, hi) in sampling.temporal_bounds(n, spec).items() for i in range(lo, hi)}
     assert got == {i: want.get(i, "buffer") for i in range(n)}
+
+
+def test_null_group_is_a_group(spark):
+    df = spark.range(40).selectExpr("id", "if(id % 2 = 0, 'a', null) as g", "xxhash64(id) & 9223372036854775807 as h")
+    out = ordering.first_n_by_hash(df, ["g"], "h", "id", 5).groupBy("g").count().collect()
+    assert {r.g: r["count"] for r in out} == {"a": 5, None: 5}
+
+
+def test_head_rows_with_one_outlier(spark):
+    df = spark.range(100_000).selectExpr("if(id = 0, 0, 1700000000000000 + id * 1000) as t")
+    near = ordering.head_rows(df, "t", 500)
+    assert 500 <= near.count() < 100_000 and near.orderBy("t").limit(500).collect() == df.orderBy("t").limit(500).collect()
