@@ -8,9 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.operators.cleaning import standardize_columns
-from packetloom.session import cut, task_slots
-
-HEADER_ROWS_TO_BROADCAST = 100_000
+from packetloom.session import task_slots
 
 
 def csv_encoding(spark: SparkSession, path: str) -> str:
@@ -54,15 +52,14 @@ def read_zeek(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFra
     """Named fields of many Zeek logs plus ``capture_file``.
 
     Every log carries its own ``#fields`` line, so lines meet the names of their own file and
-    are turned into a map. The name table has one row per file; it is broadcast only while it
-    is small.
+    are turned into a map. The name table has one row per file; adaptive execution picks the join
+    by its size at run time and splits a file that holds most of the lines.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"),
                                          F.col("_metadata.file_name").alias("capture_file"))
-    names = cut(lines.filter(F.col("value").startswith("#fields")).groupBy("_file").agg(
-        F.max(F.col("value")).alias("_h")).select("_file", F.slice(F.split(F.trim("_h"), "\t"), 2, 10_000).alias("_names")))
-    if names.count() <= HEADER_ROWS_TO_BROADCAST:
-        names = F.broadcast(names)
+    header = F.split(F.trim("_h"), "\t")
+    names = lines.filter(F.col("value").startswith("#fields")).groupBy("_file").agg(F.max("value").alias("_h")).select(
+        "_file", F.slice(header, F.lit(2), F.size(header)).alias("_names"))
     rows = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
     parsed = rows.join(names, "_file").withColumn("_v", F.split("value", "\t"))
     n = F.least(F.size("_names"), F.size("_v"))
