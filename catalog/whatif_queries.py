@@ -152,8 +152,8 @@ def pct(e: str) -> str:
     return f"CAST(floor({e} * 100.0 * 10.0 + 0.5) / 10.0 AS VARCHAR)"
 
 
-REC = f"""'Action ''' || kind || ''' on ''' || target || ''' reduces infiltration risk by ' || {pct('risk_reduction')} || '% (from ' || {pct('original_risk')} || '% to ' || {pct('recalculated_risk')}
- || '%), severing ' || severed || ' malicious telemetry edges. Expected state transition: ' || stage_after || '. Operational impact: ' || CAST(floor(impact * 100.0 * 1.0 + 0.5) AS BIGINT) || '%.'"""
+REC = f"""kind || ' ' || target || ': risk ' || {pct('original_risk')} || '% before, ' || {pct('recalculated_risk')} || '% after (' || {pct('risk_reduction')} || '% lower); ' || severed
+ || ' malicious edges removed; next stage ' || stage_after || '; ' || CAST(floor(impact * 100.0 * 1.0 + 0.5) AS BIGINT) || '% of operations affected'"""
 
 
 @register("cf_recommendation", f"WITH {EVAL} SELECT seq_id, idx, {REC} AS recommendation FROM ev")
@@ -162,7 +162,7 @@ def _(spark, sf):
 
 
 @register("cf_rank", f"""WITH {EVAL}, rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY seq_id ORDER BY net_score DESC, idx) AS INTEGER) AS rank FROM ev)
- SELECT seq_id, rank, kind, target, net_score, CASE WHEN rank = 1 THEN 'Optimal defensive intervention: ''' || kind || ''' targeting ''' || target || ''', yielding ' || {pct('risk_reduction')} || '% risk reduction with Net Score ' || net_score || '.' END AS summary
+ SELECT seq_id, rank, kind, target, net_score, CASE WHEN rank = 1 THEN 'first choice: ' || kind || ' ' || target || ' (risk ' || {pct('risk_reduction')} || '% lower, net score ' || net_score || ')' END AS summary
  FROM rk WHERE rank <= 3""")
 def _(spark, sf):
     return whatif.rank(evaluated(spark, sf), 3).select("seq_id", "rank", "kind", "target", "net_score", "summary")
@@ -241,11 +241,11 @@ def _(spark, sf):
 CARD = EDGE_SQL + f""", cd AS (SELECT ta.*, {port_name_sql('port', 'proto')} AS pn, a.segment AS ssg, b.segment AS dsg FROM ta JOIN sg a ON a.ip = src_ip JOIN sg b ON b.ip = dst_ip)"""
 
 
-@register("ex_edge_card", f"""WITH {CARD} SELECT src_ip, dst_ip, 'GNN_ATTN_WEIGHT' AS code, 'Graph Attention Link Weight (' || printf('%.2f', floor(attention * 100.0 + 0.5) / 100.0) || ')' AS label,
+@register("ex_edge_card", f"""WITH {CARD} SELECT src_ip, dst_ip, 'GNN_ATTN_WEIGHT' AS code, 'attention of this edge: ' || printf('%.2f', floor(attention * 100.0 + 0.5) / 100.0) AS label,
   CAST(floor(attention * 38 + 0.5) AS INTEGER) AS percentage, CASE WHEN attention > 0.8 THEN 'high' ELSE 'medium' END AS severity FROM cd
- UNION ALL SELECT src_ip, dst_ip, 'PORT_VULNERABILITY', 'Destination Port ' || port || ' (' || pn || ') Attack Vector', CASE WHEN port IN (445, 502, 443) THEN 28 ELSE 16 END, CASE WHEN port IN (445, 502) THEN 'high' ELSE 'medium' END FROM cd
- UNION ALL SELECT src_ip, dst_ip, 'SESSION_BURST', 'Anomalous Connection Density & SYN Asymmetry', 20, 'medium' FROM cd
- UNION ALL SELECT src_ip, dst_ip, 'SUB_TOPOLOGY_PATH', 'Network Traversal Path (' || ssg || ' -> ' || dsg || ')', 14, 'low' FROM cd""")
+ UNION ALL SELECT src_ip, dst_ip, 'PORT_VULNERABILITY', 'service reached: port ' || port || ', ' || pn, CASE WHEN port IN (445, 502, 443) THEN 28 ELSE 16 END, CASE WHEN port IN (445, 502) THEN 'high' ELSE 'medium' END FROM cd
+ UNION ALL SELECT src_ip, dst_ip, 'SESSION_BURST', 'many connection attempts, few answers', 20, 'medium' FROM cd
+ UNION ALL SELECT src_ip, dst_ip, 'SUB_TOPOLOGY_PATH', 'from segment ' || ssg || ' to segment ' || dsg, 14, 'low' FROM cd""")
 def _(spark, sf):
     f = flow_rows(spark, sf)
     seg = topology.segment_hosts(topology.top_hosts(topology.host_stats(f)))
@@ -316,8 +316,8 @@ ISO = "in_degree % 2 = 0"
 @register("dp_alerts", f"""WITH {ROLES}, tg AS (SELECT ip, name, string_split(open_ports, ',')[1]::INTEGER AS port FROM hr WHERE segment = 'corporate' ORDER BY rank LIMIT 1),
  am AS (SELECT name FROM hr WHERE status = 'compromised' ORDER BY rank LIMIT 1)
  SELECT 'alt-target' AS id, 'critical' AS severity, am.name AS source, tg.name || ' (' || ip || ')' AS target, 'Lateral traversal targeting ' || tg.name AS message, port FROM tg, am
- UNION ALL SELECT 'alt-comp-' || ip, CASE WHEN rank = min(rank) OVER () THEN 'critical' ELSE 'high' END, name || ' (' || ip || ')', role, 'Node compromised - anomalous outbound activity detected on ports [' || replace(open_ports, ',', ', ') || ']', string_split(open_ports, ',')[1]::INTEGER FROM hr WHERE status = 'compromised'
- UNION ALL SELECT 'alt-iso-' || ip, 'info', name || ' (' || ip || ')', 'Security Policy', 'Host isolated: traffic restricted to mitigation quarantine VLAN.', NULL FROM hr WHERE {ISO}""")
+ UNION ALL SELECT 'alt-comp-' || ip, CASE WHEN rank = min(rank) OVER () THEN 'critical' ELSE 'high' END, name || ' (' || ip || ')', role, 'host marked compromised; open ports: ' || replace(open_ports, ',', ', '), string_split(open_ports, ',')[1]::INTEGER FROM hr WHERE status = 'compromised'
+ UNION ALL SELECT 'alt-iso-' || ip, 'info', name || ' (' || ip || ')', 'Security Policy', 'isolation is in force for this host', NULL FROM hr WHERE {ISO}""")
 def _(spark, sf):
     h = hosts(spark, sf)
     source = h.filter("status = 'compromised'").agg(F.min_by("name", "rank")).scalar()

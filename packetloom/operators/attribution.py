@@ -110,11 +110,11 @@ def edge_card(edge: DataFrame) -> DataFrame:
 
     two = F.format_string("%.2f", q6(att, 2))
     cards = F.array(
-        factor("GNN_ATTN_WEIGHT", F.concat(F.lit("Graph Attention Link Weight ("), two, F.lit(")")), F.floor(att * 38 + 0.5),
+        factor("GNN_ATTN_WEIGHT", F.concat(F.lit("attention of this edge: "), two), F.floor(att * 38 + 0.5),
                F.when(att > 0.8, "high").otherwise("medium")),
-        factor("PORT_VULNERABILITY", F.concat(F.lit("Destination Port "), port.cast("string"), F.lit(" ("), F.col("protocol_name"), F.lit(") Attack Vector")),
+        factor("PORT_VULNERABILITY", F.concat(F.lit("service reached: port "), port.cast("string"), F.lit(", "), F.col("protocol_name")),
                F.when(port.isin(445, 502, 443), 28).otherwise(16), F.when(port.isin(445, 502), "high").otherwise("medium")),
-        factor("SESSION_BURST", F.lit("Anomalous Connection Density & SYN Asymmetry"), F.lit(20), F.lit("medium")),
-        factor("SUB_TOPOLOGY_PATH", F.concat(F.lit("Network Traversal Path ("), F.col("src_segment"), F.lit(" -> "), F.col("dst_segment"), F.lit(")")),
+        factor("SESSION_BURST", F.lit("many connection attempts, few answers"), F.lit(20), F.lit("medium")),
+        factor("SUB_TOPOLOGY_PATH", F.concat(F.lit("from segment "), F.col("src_segment"), F.lit(" to segment "), F.col("dst_segment")),
                F.lit(14), F.lit("low")))
     return edge.select("src_ip", "dst_ip", F.explode(cards).alias("c")).select("src_ip", "dst_ip", "c.*")

@@ -15,7 +15,7 @@ PATTERN_SEVERITY = {"UNKNOWN": 0, "VERY LOW": 1, "LOW": 1, "MEDIUM": 2, "HIGH":
 LIKELIHOOD = {"UNKNOWN": 0, "LOW": 1, "MEDIUM": 2, "HIGH": 3}
 ABSTRACTION = {"STANDARD": 0, "DETAILED": 1, "META": 2}
 PATTERN_WORDS = ["network", "privilege", "denial", "injection", "buffer", "authentication", "crypto", "hardware"]
-BLANK_TEXT = "security attack pattern entity"
+BLANK_TEXT = "security attack pattern entity"  # fixed value: stands for an empty text
 
 
 def _code(value: Column, table: dict[str, int], default: int) -> Column:

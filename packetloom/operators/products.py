@@ -96,9 +96,9 @@ def alerts(target: DataFrame, hosts: DataFrame, isolated: DataFrame) -> DataFram
     b = hosts.filter("status = 'compromised'").select(
         F.concat(F.lit("alt-comp-"), "ip").alias("id"), F.when(F.col("rank") == top, "critical").otherwise("high").alias("severity"),
         first.alias("source"), F.col("role").alias("target"),
-        F.concat(F.lit("Node compromised - anomalous outbound activity detected on ports ["), F.array_join("open_ports", ", "), F.lit("]")).alias("message"),
+        F.concat(F.lit("host marked compromised; open ports: "), F.array_join("open_ports", ", ")).alias("message"),
         F.get("open_ports", F.lit(0)).alias("port"))
     c = hosts.join(isolated.select("ip"), "ip", "left_semi").select(
         F.concat(F.lit("alt-iso-"), "ip").alias("id"), F.lit("info").alias("severity"), first.alias("source"), F.lit("Security Policy").alias("target"),
-        F.lit("Host isolated: traffic restricted to mitigation quarantine VLAN.").alias("message"), F.lit(None).cast("int").alias("port"))
+        F.lit("isolation is in force for this host").alias("message"), F.lit(None).cast("int").alias("port"))
     return a.unionByName(b).unionByName(c)

@@ -122,10 +122,9 @@ def percent(x, digits: int = 1) -> Column:
 
 def recommendation() -> Column:
     return F.concat(
-        F.lit("Action '"), F.col("kind"), F.lit("' on '"), F.col("target"), F.lit("' reduces infiltration risk by "),
-        percent("risk_reduction"), F.lit("% (from "), percent("original_risk"), F.lit("% to "), percent("recalculated_risk"),
-        F.lit("%), severing "), F.col("severed").cast("string"), F.lit(" malicious telemetry edges. Expected state transition: "),
-        F.col("stage_after"), F.lit(". Operational impact: "), percent("impact", 0), F.lit("%."))
+        F.col("kind"), F.lit(" "), F.col("target"), F.lit(": risk "), percent("original_risk"), F.lit("% before, "), percent("recalculated_risk"),
+        F.lit("% after ("), percent("risk_reduction"), F.lit("% lower); "), F.col("severed").cast("string"),
+        F.lit(" malicious edges removed; next stage "), F.col("stage_after"), F.lit("; "), percent("impact", 0), F.lit("% of operations affected"))
 
 
 def candidates(nodes: DataFrame, n_hosts: int = 4) -> DataFrame:
@@ -214,9 +213,8 @@ def _stage_text(stage: str) -> Column:
 def rank(evaluated: DataFrame, top_n: int = 5) -> DataFrame:
     """Best actions of each sequence by net score (listing order breaks ties), with a summary."""
     w = Window.partitionBy("seq_id").orderBy(F.col("net_score").desc(), "idx")  # one row per action
-    summary = F.concat(F.lit("Optimal defensive intervention: '"), F.col("kind"), F.lit("' targeting '"), F.col("target"),
-                       F.lit("', yielding "), percent("risk_reduction"), F.lit("% risk reduction with Net Score "),
-                       F.col("net_score").cast("string"), F.lit("."))
+    summary = F.concat(F.lit("first choice: "), F.col("kind"), F.lit(" "), F.col("target"), F.lit(" (risk "), percent("risk_reduction"),
+                       F.lit("% lower, net score "), F.col("net_score").cast("string"), F.lit(")"))
     return (evaluated.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
             .withColumn("summary", F.when(F.col("rank") == 1, summary)))
 
