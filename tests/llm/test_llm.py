@@ -260,6 +260,32 @@ def test_block_index_matches_full_scan():
         assert sims == pytest.approx(np.sort(weight @ weights[terms])[::-1][:20], abs=1e-6)
 
 
+def test_every_word_and_every_example_is_indexed(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{j}" for j in rng.integers(0, 400, 40)) + (" vile" if i % 4 == 0 else "") for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    copies = [(1000 + i, t + " unseen") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*enumerate(texts), *copies, (2000, None)], "doc_id long, text string")
+    index = toxicity.fit(docs, labels)
+    train = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5]
+    assert sorted(index.ids.tolist()) == train and set(index.terms) == {w.encode() for i in train for w in texts[i].split()}
+    evidence = {r["doc_id"]: r["evidence"] for r in toxicity.score(docs, index).collect()}
+    df = {w: sum(w in (t or "").split() for t in [*texts, *[c[1] for c in copies]]) for w in {w.decode() for w in index.terms}}
+
+    def vector(text):
+        mine = {w: n for w, n in toxicity.Counter(text.split()).items() if w in df}
+        v = {w: (1 + np.log(n)) * (np.log(602 / (1 + df[w])) + 1) for w, n in mine.items()}
+        return {w: x / np.sqrt(sum(y * y for y in v.values())) for w, x in v.items()}
+
+    known = {i: vector(texts[i]) for i in train}
+    for i in range(0, 300, 7):
+        mine = vector(copies[i][1])
+        sims = sorted((sum(x * known[j].get(w, 0) for w, x in mine.items()) for j in train), reverse=True)[:3]
+        assert [float(e.split(":")[1]) for e in evidence[1000 + i].split(",")] == pytest.approx(sims, abs=1e-4)
+        assert i not in known or evidence[1000 + i].startswith(f"{i}:1.0000")
+    assert evidence[2000] == ""
+
+
 @pytest.mark.parametrize("operator, column", [(quality, "quality"), (toxicity, "toxic")])
 def test_classifiers_on_odd_tables(spark, hard, operator, column):
     none = spark.createDataFrame([], f"doc_id long, {column} int")
