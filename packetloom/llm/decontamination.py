@@ -134,7 +134,12 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Documents of which no word lies in a benchmark window; a row without an id stays only if its text is clean."""
-    hit = F.size("hits") > 0
-    flagged = search(docs, items).filter(hit).select("doc_id").distinct()
-    return docs.join(flagged, docs["doc_id"].eqNullSafe(flagged["doc_id"]), "left_anti")
+    """Documents of which no word lies in a benchmark window, decided by each row's own text whatever its id.
+
+    Rows are told apart by a hash of id and text, so only rows that are equal in both go together.
+    """
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    keyed = docs.withColumn("_key", key)
+    found = search(keyed.select(F.col("_key").alias("doc_id"), "text"), items)
+    flagged = found.filter(F.size("hits") > 0).select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(flagged, "_key", "left_anti").select(*docs.columns)

@@ -88,6 +88,14 @@ def test_clean_keeps_documents_without_a_window(spark):
     assert [r["doc_id"] for r in decontamination.clean(docs, items).collect()] == [1]
 
 
+def test_clean_decides_each_row_by_its_text(spark):
+    bad, good = "so one two three it is", "nothing of it"
+    docs = spark.createDataFrame([(None, bad, 1), (None, good, 2), (None, None, 3), (7, bad, 4), (7, good, 5), (7, good, 6), (8, bad, 7)], "doc_id long, text string, n int")
+    items = spark.createDataFrame([(9, "One, two; three")], "item_id long, text string")
+    kept = decontamination.clean(docs, items)
+    assert kept.columns == docs.columns and sorted(r["n"] for r in kept.collect()) == [2, 3, 5, 6]
+
+
 # --- 3 neighbours
 
 def test_neighbours_recall_and_ties(spark):
