@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from packetloom.llm.common import map_rows, saved
 from packetloom.llm.components import components
+from packetloom.llm.near_copies import groups
 
 GOLAY_GENERATOR = 0b101011100011  # fixed value: generator polynomial of the [23, 12] code
 WORD, RADIUS, MAX_DISTANCE = 23, 3, 2
@@ -138,17 +139,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(answer, "fingerprint").select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of every component, columns unchanged: the smallest doc_id, null ids last, then the smallest row hash.
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of every group of near copies, columns unchanged: the smallest doc_id, null ids last, then the smallest row hash.
 
-    Only rows with equal id and text share that hash; one of them stays.
+    Near copies have a Jaccard similarity of at least ``similarity`` between their sets of ``width``-word shingles
+    (see ``near_copies``; two fingerprint bits, as above, are far narrower). Only rows with equal id and text share
+    a row hash; one of them stays.
     """
     rows = docs.withColumn("_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    prints = saved(fingerprints(rows, "_key"), "fingerprints")
-    keyed = prints.groupBy(F.col("id").alias("_key"), "fingerprint").agg(F.count("*").alias("copies"))
+    found = saved(groups(rows, "_key", width, similarity), "groups")
+    keyed = found.groupBy(F.col("id").alias("_key"), "root").agg(F.count("*").alias("copies"))
     ids = rows.select("_key", "doc_id").distinct()
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_key", "copies")
-    first = keyed.join(ids, "_key").join(rooted(prints), "fingerprint").groupBy("root").agg(F.min(order).alias("first"))
+    first = keyed.join(ids, "_key").groupBy("root").agg(F.min(order).alias("first"))
     kept = saved(first.select("first._key", "first.copies"), "kept")
     single = rows.join(kept.filter("copies = 1"), "_key", "left_semi")
     repeated = rows.join(kept.filter("copies > 1"), "_key", "left_semi").dropDuplicates(["_key"])

@@ -232,6 +232,24 @@ def test_near_duplicates(spark, hard):
     assert kept.columns == hard.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4, 5]
 
 
+def test_keep_one_finds_near_copies_down_to_the_bound(spark):
+    from packetloom.llm import near_copies
+
+    rng = np.random.default_rng(3)
+    docs, near = [], 0
+    for i in range(200):
+        words = [f"w{j}" for j in rng.integers(0, 5000, int(rng.integers(40, 400)))]
+        other = list(words)
+        for j in rng.choice(len(words), int(rng.integers(1, max(2, len(words) // 30))), replace=False):
+            other[j] = "changed"
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        near += near_copies.jaccard(near_copies.shingles(docs[-2][1], 5), near_copies.shingles(docs[-1][1], 5)) >= 0.8
+    kept = {r["doc_id"] for r in simhash_dedup.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    gone = sum(2 * i + 1 not in kept for i in range(200))
+    print("recall", gone, "of", near)
+    assert all(2 * i in kept for i in range(200)) and near > 100 and 0.99 * near <= gone <= near
+
+
 # --- 7 quality and 8 toxicity
 
 @pytest.mark.parametrize("operator, column", [(quality, "quality"), (toxicity, "toxic")])
