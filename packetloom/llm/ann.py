@@ -187,10 +187,12 @@ def neighbours(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     """
     rows = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), is_query.alias("is_query"))
     rows = rows.filter(valid(F.col("vector")) & F.col("id").isNotNull())
+    # k + 1 distinct ids, each with its rows: without any one id at least k rows are left
     first = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
-    classes = (rows.select("id", "vector").withColumn("n", first).filter(F.col("n") <= k + 1).groupBy("vector")
-               .agg(F.sort_array(F.collect_list("id")).alias("members")))
-    name = F.concat(F.hex(F.xxhash64("vector")), F.lit(":"), F.col("members")[0].cast("string"))
+    owned = rows.groupBy("vector", "id").agg(F.count("*").alias("copies"))
+    classes = (owned.withColumn("n", first).filter(F.col("n") <= k + 1).groupBy("vector")
+               .agg(F.sort_array(F.collect_list(F.struct("id", F.least("copies", F.lit(k)).cast("int").alias("copies")))).alias("members")))
+    name = F.concat(F.hex(F.xxhash64("vector")), F.lit(":"), F.col("members")[0]["id"].cast("string"))
     classes = saved(classes.withColumn("class", name), "classes")
     shards = max(min_shards, -(-classes.count() // shard_rows))
     shard = F.pmod(F.xxhash64("class"), F.lit(shards)).cast("int")
@@ -204,35 +206,42 @@ def neighbours(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
                   .applyInPandas(build, "dims int, shard int, index binary"), "index")
 
     asked = rows.filter("is_query").select(F.col("id").alias("query_id"), "vector").distinct()
-    asked = saved(asked.join(classes.select("vector", "class"), "vector").select("query_id", "class"), "asked")
-    wanted = classes.join(asked.select("class").distinct(), "class", "left_semi").select("class", "vector", dims)
+    # as many more classes are fetched as a query's own id may fill
+    spread = owned.groupBy(F.col("id").alias("query_id")).agg(F.count("*").cast("int").alias("own"))
+    asked = saved(asked.join(classes.select("vector", "class"), "vector").join(spread, "query_id").select("query_id", "class", "own"), "asked")
+    wide = asked.groupBy("class").agg((F.max("own") + k).alias("wide"))
+    wanted = classes.join(wide, "class").select("class", "vector", "wide", dims)
     blocks = max(1, -(-asked.count() // query_block))
     wanted = wanted.withColumn("block", F.pmod(F.xxhash64("class", F.lit(1)), F.lit(blocks)).cast("int"))
     wanted = wanted.join(index.select(F.col("dims").alias("d"), F.col("shard").alias("s")), F.col("dims") == F.col("d"))
-    wanted = wanted.select("class", "vector", "dims", F.col("s").alias("shard"), "block")
+    wanted = wanted.select("class", "vector", "wide", "dims", F.col("s").alias("shard"), "block")
     copies = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"class": [], "near": [], "score": []})
+            return pd.DataFrame({"class": [], "near": [], "score": [], "wide": []})
         kept = pickle.loads(right["index"].iat[0])
         queries = np.stack(left["vector"].to_numpy())
         graph = Graph(kept["lifted"], kept["sizes"], kept["tables"])
         flat = np.concatenate([queries, np.zeros((len(queries), 1), queries.dtype)], axis=1).astype(np.float32)
-        found = graph.search(flat, k + 1, ef_search)
+        found = graph.search(flat, int(left["wide"].max()), ef_search)
         row, col = np.nonzero(found >= 0)
         near = found[row, col]
         score = np.einsum("ij,ij->i", kept["originals"][near].astype(np.float64), queries[row].astype(np.float64))
-        return pd.DataFrame({"class": left["class"].to_numpy()[row], "near": kept["classes"][near], "score": score})
+        return pd.DataFrame({"class": left["class"].to_numpy()[row], "near": kept["classes"][near], "score": score, "wide": left["wide"].to_numpy()[row]})
 
     hits = wanted.groupBy("dims", "shard", "block").cogroup(copies.groupBy("dims", "shard", "block")).applyInPandas(
-        search, "class string, near string, score double")
+        search, "class string, near string, score double, wide int")
     least = F.split("near", ":")[1].cast("long")
     best = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("score"), least))
-    hits = hits.withColumn("n", best).filter(F.col("n") <= k + 1).drop("n")
-    members = classes.select(F.col("class").alias("near"), F.explode("members").alias("id"))
-    order = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("score"), "id"))
-    lists = (hits.join(members, "near").withColumn("n", order).filter(F.col("n") <= k + 1).groupBy("class")
+    hits = hits.withColumn("n", best).filter("n <= wide").drop("n", "wide")
+    members = classes.select(F.col("class").alias("near"), F.inline("members"))
+    members = members.select("near", "id", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    order = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("score"), "id", "copy"))
+    of_id = F.row_number().over(Window.partitionBy("class", "id").orderBy("n"))
+    ids = F.sum(F.when(F.col("of_id") == 1, 1).otherwise(0)).over(Window.partitionBy("class").orderBy("n"))
+    listed = hits.join(members, "near").withColumn("n", order).withColumn("of_id", of_id).filter(F.col("of_id") <= k)
+    lists = (listed.withColumn("ids", ids).filter(F.col("ids") <= k + 1).groupBy("class")
              .agg(F.sort_array(F.collect_list(F.struct("n", "id", "score"))).alias("list")))
     own = asked.join(lists, "class")
     others = F.slice(F.filter("list", lambda x: x["id"] != F.col("query_id")), 1, k)

@@ -123,6 +123,17 @@ def test_neighbours_odd_vectors(spark):
     assert ann.neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_of_a_repeated_id(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=8)
+    equal, apart = [(0, base)] * 25 + [(i, base) for i in (1, 2, 3)], [(0, base * (2 + j / 10)) for j in range(10)]
+    table = equal + apart + [(i, rng.normal(size=8)) for i in range(4, 60)] + [(5, base)] * 3
+    rows_in = [(i, v.tolist(), n == 0) for n, (i, v) in enumerate(table)]
+    got = ann.neighbours(spark.createDataFrame(rows_in, "vec_id long, embedding array<double>, asked boolean"), F.col("asked")).collect()
+    true = sorted((-float(v @ base), i) for i, v in table if i != 0)[:20]
+    assert [r["id"] for r in sorted(got, key=lambda r: r["rank"])] == [i for _, i in true]
+
+
 # --- 4 personal data
 
 def test_pii_base_spans():
