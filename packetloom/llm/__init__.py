@@ -1,4 +1,5 @@
-"""Training-data operators: secrets, contamination, neighbours, personal data, duplicates, quality, packing, archives.
+"""Training-data operators: secrets, contamination, neighbours, personal data, duplicates, quality, packing, archives,
+main text, conversations, search.
 
 Worker functions of this package are shipped by value, so executors need no copy of it.
 """
