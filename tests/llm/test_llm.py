@@ -183,8 +183,7 @@ def test_line_dedup_matches_brute_force(spark):
 
     for i, a in enumerate(keys):
         for b in keys[:i]:
-            near = bin((places[a]["fp"] ^ places[b]["fp"]) & (1 << 64) - 1).count("1") <= line_dedup.MAX_BITS
-            if norm[a] == norm[b] or near and 1 - distance(norm[a], norm[b]) / max(len(norm[a]), len(norm[b])) >= 0.8:
+            if norm[a] == norm[b] or 1 - distance(norm[a], norm[b]) / max(len(norm[a]), len(norm[b])) >= 0.8:
                 x, y = sorted((find(a), find(b)), key=keys.index)
                 root[y] = x
     expected = {k for k in keys if find(k) != k}
@@ -192,12 +191,63 @@ def test_line_dedup_matches_brute_force(spark):
     assert got == expected and len(got) > 4
 
 
-def test_line_fingerprint_is_the_majority(spark):
-    long_line = " ".join(f"w{i}" for i in range(700))
-    got = {r["doc_id"]: r["fp"] for r in line_dedup.occurrences(spark.createDataFrame([(1, long_line), (2, "a b c d")], "doc_id long, text string")).collect()}
-    for key, words in ((1, long_line.split()), (2, list("abcd"))):
-        h = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w")).collect()]
-        assert got[key] == sum(1 << b for b in range(63) if 2 * sum(x >> b & 1 for x in h) > len(h))
+def test_line_blocks_are_majorities(spark):
+    words = [f"w{i}" for i in range(700)]
+    got = line_dedup.occurrences(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")).first()["blocks"]
+    h = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w")).collect()]
+    starts = [i for i in range(696) if i in (0, 695) or (h[i] >> 20) % line_dedup.ANCHORS == 0]
+    assert got == [sum(1 << b for b in range(63) if sum(x >> b + 1 & 1 for x in h[i:i + 5]) > 2) for i in starts]
+
+
+def test_short_lines_meet_with_one_word_changed(spark):
+    texts = ["alpha beta gammas", "alpha betas gammas", "alpha beta gammas delta", "x", "y z", "one two three four five six seven eight", "one two four five six seven eight"]
+    got = {r["doc_id"] for r in line_dedup.duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {1, 6}
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_recall_of_similar_lines(spark):
+    """Of all pairs of edit similarity 0.8 or more, at least nine in ten end in one group; lines of 2 to 60 words with words changed, lost and added."""
+    rng = np.random.default_rng(8)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(300)]
+    lines = []
+    for _ in range(60):
+        base = list(rng.choice(vocabulary, rng.integers(2, 61)))
+        lines.append(base)
+        for _ in range(2):
+            near = [w for w in base if rng.random() > 0.03]
+            near = [rng.choice(vocabulary) if rng.random() < 0.08 else w for w in near]
+            lines.append(near + ([rng.choice(vocabulary)] if rng.random() < 0.3 else []))
+    texts = sorted({" ".join(w) for w in lines if w})
+    root = list(range(len(texts)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, a in enumerate(texts):
+        for j in range(i):
+            if abs(len(a) - len(texts[j])) <= 0.2 * max(len(a), len(texts[j])) and distance(a, texts[j]) <= 0.2 * max(len(a), len(texts[j])) + 1e-6:
+                root[find(i)] = find(j)
+    expected = sum(find(k) != k for k in range(len(texts)))
+    found = line_dedup.duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count()
+    assert expected > 40 and 0.9 * expected <= found <= expected
+
+
+def test_line_clean_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", 1, "r", None), (2, "a b c\nd e", 2, "s", "t"), (2, "a b c\nd e", 2, "s", "t")],
+                                 "doc_id long, text string, doc_key int, removed string, now string")
+    got = sorted(tuple(r) for r in line_dedup.clean(docs).collect())
+    assert got == [(1, "a b c", 1, "r", None), (2, "d e", 2, "s", "t"), (2, "d e", 2, "s", "t")]
 
 
 def test_line_clean(spark, hard):
