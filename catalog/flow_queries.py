@@ -1,6 +1,8 @@
 """Packets to flows (2.4)."""
 
 
+from pyspark.sql import functions as F
+
 from catalog.common import CANON, PACKETS, RETRANS, r6, register, rounded, typed
 from packetloom.operators import flows
 from packetloom.sources.telemetry import packets
@@ -24,6 +26,13 @@ def _(spark, sf):
     return rounded(flows.flow_volume(packets(spark, sf)), "flow_duration", "flow_byts_s", "flow_pkts_s")
 
 
+@register("flow_agg_capture", f"""WITH {CANON} SELECT pkt_id // 1000 AS capture, flow_key, count(*) AS tot_pkts,
+ CAST(sum(payload_size) AS BIGINT) AS tot_bytes, min(ts_us) AS start_us, max(ts_us) AS end_us FROM c GROUP BY ALL""")
+def _(spark, sf):
+    p = packets(spark, sf).withColumn("capture", F.floor(F.col("pkt_id") / 1000))
+    return flows.flow_volume(p, ("capture",)).select("capture", "flow_key", "tot_pkts", "tot_bytes", "start_us", "end_us")
+
+
 GAPS = CANON + """, g AS (SELECT flow_key, is_fwd, ts_us,
  ts_us - lag(ts_us) OVER (PARTITION BY flow_key ORDER BY ts_us, pkt_id) AS gap,
  ts_us - lag(ts_us) OVER (PARTITION BY flow_key, is_fwd ORDER BY ts_us, pkt_id) AS dgap FROM c)"""

@@ -269,12 +269,13 @@ def _(spark, sf):
     path = scratch_path(spark, "late")
     newest = packets(spark, sf).agg(F.max("ts_us")).scalar()
     p = packets(spark, sf).withColumn("late", (F.col("ts_us") < newest - 600_000_000).cast("int"))
-    p.filter("late = 0").repartition(1).write.parquet(path)
+    live.keep_progress(spark)
+    p.filter("late = 0").write.parquet(path)
     schema = p.schema
     out, state = scratch_path(spark, "late-out"), scratch_path(spark, "late-state")
 
     def drain():
-        stream = live.late_report(live.with_event_time(live.replay(spark, path, schema, 100)))
+        stream = live.late_report(live.with_event_time(live.replay(spark, path, schema, 1_000_000)))  # all files of a phase in one trigger
         q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start())
         q.awaitTermination()
         return live.dropped_rows(q)

@@ -71,18 +71,18 @@ ROLES = SEG + f""", r0 AS (SELECT *, {_role(0, "'EXT-' || string_split(ip, '.')[
  hr AS (SELECT *, CASE WHEN st = 'targeted-once' THEN CASE WHEN coalesce(bool_or(starts_with(st, 'targeted')) OVER (
    ORDER BY CASE WHEN segment = 'dmz' THEN 0 ELSE 1 END, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) THEN 'elevated' ELSE 'targeted' END
    ELSE st END AS status,
-  array_to_string(CASE WHEN len(ports) = 0 THEN CASE WHEN segment = 'dmz' THEN [80, 443] ELSE [445, 135] END
-   ELSE ports[1:(CASE WHEN segment = 'dmz' THEN 4 ELSE 5 END)] END, ',') AS open_ports FROM r0)"""
+  CASE WHEN len(ports) > 0 THEN ports WHEN segment = 'dmz' THEN [80, 443] ELSE [445, 135] END AS all_ports,
+  array_to_string(all_ports, ',') AS open_ports, array_to_string(all_ports[1:(CASE WHEN segment = 'dmz' THEN 4 ELSE 5 END)], ',') AS shown_ports FROM r0)"""
 
 
 def hosts(spark, sf):
     return topology.host_roles(topology.segment_hosts(topology.top_hosts(topology.host_stats(flow_rows(spark, sf)))))
 
 
-@register("host_role", f"WITH {ROLES} SELECT ip, segment, name, role, status, open_ports, out_degree, in_degree FROM hr")
+@register("host_role", f"WITH {ROLES} SELECT ip, segment, name, role, status, open_ports, shown_ports, out_degree, in_degree FROM hr")
 def _(spark, sf):
-    return hosts(spark, sf).withColumn("open_ports", F.array_join("open_ports", ",")).select(
-        "ip", "segment", "name", "role", "status", "open_ports", "out_degree", "in_degree")
+    return hosts(spark, sf).withColumns({c: F.array_join(c, ",") for c in ("open_ports", "shown_ports")}).select(
+        "ip", "segment", "name", "role", "status", "open_ports", "shown_ports", "out_degree", "in_degree")
 
 
 def capture_risk(spark, sf):

@@ -85,17 +85,41 @@ def _(spark, sf):
     return sequences.complete_ids(packets(spark, sf), SPEC)
 
 
-@register("seq_pad", f"""WITH {PACKETS}, q AS (SELECT * FROM p WHERE label = 'StrangeVariant_XYZ'),
- h AS (SELECT min(ts_us) AS t0 FROM q),
- r AS (SELECT least(max(ts_us), min(ts_us) + 12000000) - min(ts_us) AS span, min(ts_us) AS t0
-       FROM (SELECT q.* FROM q, h WHERE q.ts_us <= h.t0 + 12000000)),
- g AS (SELECT t0, unnest(range(CAST(floor(span / 2500000.0) AS BIGINT) + 1)) AS w FROM r), n AS (SELECT max(w) AS lw FROM g)
- SELECT pos, w AS window_id, t0 + w * 2500000 AS start_us, t0 + w * 2500000 + 5000000 AS end_us
- FROM (SELECT unnest(range(10)) AS pos) x, n JOIN g ON true WHERE w = least(pos, lw)""")
-def _(spark, sf):
-    odd = packets(spark, sf).filter(F.col("label") == "StrangeVariant_XYZ")
-    short = odd.filter(F.col("ts_us") <= windows.origin(odd) + 12_000_000)
-    return sequences.padded(windows.grid(short, SPEC), SPEC)
+def captures(spark, sf, size: int):
+    """Packets with the capture of ``size`` consecutive packets that they belong to; every other capture runs a day ahead."""
+    p = packets(spark, sf).withColumn("capture", F.floor(F.col("pkt_id") / size))
+    return p.withColumn("ts_us", F.col("ts_us") + F.col("capture") % 2 * 86_400_000_000)
+
+
+def capture_sql(size: int) -> str:
+    return f""", cp AS (SELECT * REPLACE (ts_us + (pkt_id // {size}) % 2 * 86400000000 AS ts_us), pkt_id // {size} AS capture FROM p),
+ cb AS (SELECT capture, min(ts_us) AS t0, CAST(floor((max(ts_us) - min(ts_us)) / 2500000.0) AS BIGINT) + 1 AS n FROM cp GROUP BY capture),
+ cg AS (SELECT capture, n, window_id, t0 + window_id * 2500000 AS start_us, t0 + window_id * 2500000 + 5000000 AS end_us
+  FROM (SELECT *, unnest(range(n)) AS window_id FROM cb))"""
+
+
+@register("win_grid_capture", f"WITH {PACKETS}{capture_sql(1000)} SELECT capture, window_id, start_us, end_us FROM cg")
+def _(spark, sf):
+    return windows.scoped_grid(captures(spark, sf, 1000), ["capture"], SPEC)
+
+
+@register("win_assign_capture", f"""WITH {PACKETS}{capture_sql(1000)} SELECT pkt_id, cp.capture, unnest(range(
+  greatest(0, CAST(floor((ts_us - t0 - 5000000) / 2500000.0) AS BIGINT) + 1), CAST(floor((ts_us - t0) / 2500000.0) AS BIGINT) + 1)) AS window_id
+ FROM cp JOIN cb ON cp.capture = cb.capture""")
+def _(spark, sf):
+    return windows.scoped_assign(captures(spark, sf, 1000), ["capture"], SPEC).select("pkt_id", "capture", "window_id")
+
+
+@register("seq_build_capture", f"""WITH {PACKETS}{capture_sql(1000)} SELECT capture, row_number() OVER (ORDER BY capture, window_id) - 1 AS seq_id,
+ window_id AS first_window, window_id + 9 AS last_window, start_us AS input_start_us, start_us + 27500000 AS input_end_us FROM cg WHERE window_id + 10 <= n""")
+def _(spark, sf):
+    return sequences.scoped_build(captures(spark, sf, 1000), ["capture"], SPEC)
+
+
+@register("seq_pad", f"""WITH {PACKETS}{capture_sql(20)} SELECT capture, pos, least(pos, n - 1) AS window_id,
+ t0 + least(pos, n - 1) * 2500000 AS start_us, t0 + least(pos, n - 1) * 2500000 + 5000000 AS end_us FROM (SELECT *, unnest(range(10))::INTEGER AS pos FROM cb)""")
+def _(spark, sf):
+    return sequences.scoped_padded(captures(spark, sf, 20), ["capture"], SPEC)
 
 
 MAL = ANNOTATED + B.replace("FROM p)", "FROM ann)") + """, mal AS (SELECT ts_us FROM ann WHERE label_malicious),

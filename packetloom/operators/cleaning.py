@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from packetloom import fixed_values as fv
 from packetloom.functions.columns import col, seeded_hash
+from packetloom.operators.heavy import lookup
 from packetloom.operators.ordering import exact_quantiles, head_rows, positions
 
 DEDUPE_KEY = ["src_ip", "src_port", "dst_ip", "dst_port", "protocol", "timestamp"]
@@ -146,7 +147,7 @@ def spread_minutes(df: DataFrame, minute: str, order: Sequence[str]) -> DataFram
     """Spread rows that share a coarse timestamp (in seconds) evenly over its minute."""
     ranked = positions(df, order, within=[minute], name="_rank")
     sizes = df.groupBy(minute).agg(F.count("*").alias("_size"))
-    return (ranked.join(sizes, minute)
+    return (lookup(ranked, sizes, [minute])
             .withColumn("timestamp", F.col(minute) + (F.col("_rank") / F.col("_size")) * F.lit(59.9))
             .drop("_rank", "_size"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.columns import as_int, ratio
+from packetloom.operators.heavy import lookup
 from packetloom.operators.ordering import gap_stats
 
 FLAGS = ["syn", "ack", "rst", "fin"]
@@ -39,11 +40,11 @@ def with_directional_key(packets: DataFrame) -> DataFrame:
         text("dst_ip"), F.lit(":"), text("dst_port"), F.lit("/"), text("protocol")))
 
 
-def flow_volume(packets: DataFrame) -> DataFrame:
-    """Counts, bytes, start, end, duration and rates per canonical flow."""
+def flow_volume(packets: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """Counts, bytes, start, end, duration and rates per canonical flow, kept apart by the ``scope`` columns."""
     size = F.coalesce(F.col("payload_size"), F.lit(0))
     fwd = F.col("is_fwd")
-    agg = with_canonical_key(packets).groupBy("flow_key").agg(
+    agg = with_canonical_key(packets).groupBy(*scope, "flow_key").agg(
         F.count("*").alias("tot_pkts"), F.count_if(fwd).alias("tot_fwd_pkts"),
         F.sum(size).alias("tot_bytes"),
         F.sum(F.when(fwd, size).otherwise(0)).alias("tot_fwd_bytes"),
@@ -154,19 +155,23 @@ def flow_idle_segments(packets: DataFrame, idle_us: int = 120_000_000) -> DataFr
 def with_ttl_variance(packets: DataFrame) -> DataFrame:
     """Attach the population TTL variance of each directional flow to its rows.
 
-    Aggregate and join rather than a window: the aggregate combines map-side and a heavy
-    flow on the row side can be split by adaptive execution.
+    Aggregate and lookup rather than a window: the aggregate combines map-side, and the rows of
+    a heavy flow stay spread over the tasks that read them.
     """
     keyed = with_directional_key(packets)
     stats = keyed.groupBy("flow_key").agg(
         F.coalesce(F.var_pop("ttl"), F.lit(0.0)).alias("flow_ttl_variance"))
-    return keyed.join(stats, "flow_key")
+    return lookup(keyed, stats, ["flow_key"])
+
+
+SALTS = 4096
 
 
 def with_retransmissions(packets: DataFrame, require_data: bool = True) -> DataFrame:
     """Flag TCP segments whose (directional flow, sequence number) repeats.
 
-    With ``require_data`` only segments with bytes beyond the header count and are flagged.
+    With ``require_data`` only segments with bytes beyond the header count and are flagged. Other rows
+    (all of a UDP flow have no number) look nothing up and carry a salt, so that they spread over all tasks.
     """
     keyed = with_directional_key(packets)
     header = F.coalesce(F.col("tcp_header_len"), F.lit(20))
@@ -175,7 +180,8 @@ def with_retransmissions(packets: DataFrame, require_data: bool = True) -> DataF
         counted = counted & (F.coalesce(F.col("payload_size"), F.lit(0)) - header > 0)
     repeated = (keyed.filter(counted).groupBy("flow_key", "tcp_seq")
                 .agg(F.count("*").alias("_copies")).filter("_copies > 1"))
-    return (keyed.withColumn("_counted", counted)
-            .join(repeated, ["flow_key", "tcp_seq"], "left")
+    salt = F.when(counted, 0).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return (keyed.withColumns({"_counted": counted, "_salt": salt})
+            .join(repeated.withColumn("_salt", F.lit(0)), ["flow_key", "tcp_seq", "_salt"], "left")
             .withColumn("is_retransmission", F.col("_counted") & F.col("_copies").isNotNull())
-            .drop("_counted", "_copies"))
+            .drop("_counted", "_copies", "_salt"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from packetloom import fixed_values as fv
 from packetloom.config import WindowSpec
 from packetloom.functions.columns import as_int, clip, finite_or, private_ip, ratio
+from packetloom.operators.heavy import heavy_keys, lookup
 from packetloom.operators import windows
 from packetloom.operators.ordering import gap_stats, positions
 
@@ -221,11 +222,16 @@ def incident_mean(edges: DataFrame, columns: Sequence[str]) -> DataFrame:
 # -- relational message passing ----------------------------------------------------------------
 
 def edge_softmax(edges: DataFrame, score: str, by: str = "window_id") -> DataFrame:
-    """Normalise scores over each destination's incoming edges, shifted by their own maximum, so they sum to one."""
-    top = edges.groupBy(by, "dst_ip").agg(F.max(score).alias("_top"))
-    shifted = edges.join(top, [by, "dst_ip"]).withColumn("_e", F.exp(F.col(score) - F.col("_top")))
-    denom = shifted.groupBy(by, "dst_ip").agg(F.sum("_e").alias("_d"))
-    return (shifted.join(denom, [by, "dst_ip"])
+    """Normalise scores over each destination's incoming edges, shifted by their own maximum, so they sum to one.
+
+    The edges of a heavy destination stay where they are in both lookups.
+    """
+    keys = [by, "dst_ip"]
+    heavy = heavy_keys(edges, keys)
+    top = edges.groupBy(*keys).agg(F.max(score).alias("_top"))
+    shifted = lookup(edges, top, keys, heavy=heavy).withColumn("_e", F.exp(F.col(score) - F.col("_top")))
+    denom = shifted.groupBy(*keys).agg(F.sum("_e").alias("_d"))
+    return (lookup(shifted, denom, keys, heavy=heavy)
             .withColumn("attention", F.col("_e") / (F.col("_d") + F.lit(1e-16)))
             .drop("_e", "_d", "_top"))
 

@@ -6,6 +6,8 @@ end of the last input. Everything works on one row per window or pane, never on
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from packetloom import fixed_values as fv
 from packetloom.config import MICROS, WindowSpec
 from packetloom.functions.columns import col
 from packetloom.operators import windows
+from packetloom.operators.ordering import prefix_sums
 
 
 def _zero() -> Column:
@@ -30,6 +33,26 @@ def build(df: DataFrame, spec: WindowSpec = WindowSpec()) -> DataFrame:
         (F.col("start_us") + spec.input_span_us).alias("input_end_us"))
 
 
+def scoped_build(df: DataFrame, scope: Sequence[str], spec: WindowSpec = WindowSpec()) -> DataFrame:
+    """``build`` inside every scope; ``seq_id`` goes on from scope to scope, by running sums over one row per scope."""
+    spans = windows.spans(df, scope, spec)
+    full = F.greatest(_zero(), F.col("n_windows") - (spec.seq_len - 1))
+    numbered = prefix_sums(spans.withColumn("_full", full), list(scope), {"_upto": F.col("_full")})
+    rows = windows.expand(numbered, spec).filter(F.col("window_id") < F.col("_full"))
+    return rows.select(
+        *scope, (F.col("_upto") - F.col("_full") + F.col("window_id")).alias("seq_id"), F.col("window_id").alias("first_window"),
+        (F.col("window_id") + spec.seq_len - 1).alias("last_window"), F.col("start_us").alias("input_start_us"),
+        (F.col("start_us") + spec.input_span_us).alias("input_end_us"))
+
+
+def scoped_padded(df: DataFrame, scope: Sequence[str], spec: WindowSpec = WindowSpec()) -> DataFrame:
+    """Positions 0..L-1 of every scope: its first windows, and its last one repeated where there are too few."""
+    rows = windows.spans(df, scope, spec).withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(spec.seq_len - 1))))
+    window = F.least(F.col("pos").cast("bigint"), F.col("n_windows") - 1)
+    start = F.col("t0") + window * spec.stride_us
+    return rows.select(*scope, "pos", window.alias("window_id"), start.alias("start_us"), (start + spec.size_us).alias("end_us"))
+
+
 def targets(seqs: DataFrame, spec: WindowSpec = WindowSpec(), anchor: str = "input_end_us") -> DataFrame:
     """The K consecutive target windows of each row that has an anchor time."""
     k = F.sequence(F.lit(0), F.lit(spec.horizon_k - 1))

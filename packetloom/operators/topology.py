@@ -78,10 +78,11 @@ OUTER_ROLES = [
     ("198.51.100", "EXT-DROP-EXFIL", "External Exfiltration Drop Server"),
 ]
 DEFAULT_PORTS = {"dmz": [80, 443], "corporate": [445, 135]}
+SHOWN_PORTS = {"dmz": 4, "corporate": 5}
 
 
 def host_roles(segmented: DataFrame) -> DataFrame:
-    """Name, role, status and shown ports of the segmented top hosts."""
+    """Name, role, status and open ports of the segmented top hosts; ``shown_ports`` is the short list of a host card."""
     ip, tail = F.col("ip"), F.element_at(F.split("ip", r"\."), -1)
     outer = F.struct(
         F.concat(F.lit("EXT-"), tail).alias("name"),
@@ -103,13 +104,14 @@ def host_roles(segmented: DataFrame) -> DataFrame:
     earlier = (Window.partitionBy(F.lit(0)).orderBy(F.when(F.col("segment") == "dmz", 0).otherwise(1), "rank")
                .rowsBetween(Window.unboundedPreceding, -1))
     taken = F.coalesce(F.bool_or(F.col("_r.status").startswith("targeted")).over(earlier), F.lit(False))
-    shown = (F.when(F.size("ports") == 0, F.when(F.col("segment") == "dmz", F.array(*map(F.lit, DEFAULT_PORTS["dmz"])))
-                    .otherwise(F.array(*map(F.lit, DEFAULT_PORTS["corporate"]))))
-             .otherwise(F.slice("ports", 1, F.when(F.col("segment") == "dmz", 4).otherwise(5))))
+    dmz = F.col("segment") == "dmz"
+    usual = F.when(dmz, F.array(*map(F.lit, DEFAULT_PORTS["dmz"]))).otherwise(F.array(*map(F.lit, DEFAULT_PORTS["corporate"])))
+    ports = F.when(F.size("ports") == 0, usual).otherwise(F.col("ports"))
+    shown = F.slice(ports, F.lit(1), F.when(dmz, SHOWN_PORTS["dmz"]).otherwise(SHOWN_PORTS["corporate"]))
     status = (F.when(F.col("_r.status") == "targeted-once", F.when(taken, "elevated").otherwise("targeted"))
               .otherwise(F.col("_r.status")))
     return picked.select("ip", "segment", "rank", F.col("_r.name").alias("name"), F.col("_r.role").alias("role"),
-                         status.alias("status"), shown.alias("open_ports"), "out_degree", "in_degree", "pkts")
+                         status.alias("status"), ports.alias("open_ports"), shown.alias("shown_ports"), "out_degree", "in_degree", "pkts")
 
 
 ATTACK_PORTS = [445, 135, 3389, 22]

@@ -6,12 +6,15 @@ windows through ``explode`` and never through a range join.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom import fixed_values as fv
 from packetloom.config import WindowSpec
 from packetloom.functions.columns import as_int, entropy_term, ratio
+from packetloom.operators.heavy import lookup
 from packetloom.operators.labels import stage_name
 
 CHUNK = 65_536
@@ -40,6 +43,32 @@ def panes(df: DataFrame, spec: WindowSpec = WindowSpec(), start: Column | None =
     return df.withColumn("pane", _floor_div(rel, spec.pane_us))
 
 
+def scoped_assign(df: DataFrame, scope: Sequence[str], spec: WindowSpec = WindowSpec()) -> DataFrame:
+    """``assign`` with an origin of its own for every scope (a capture with its own clock)."""
+    starts = df.groupBy(*scope).agg(F.min("ts_us").alias("_t0"))
+    return assign(lookup(df, starts, list(scope)), spec, F.col("_t0")).drop("_t0")
+
+
+def spans(df: DataFrame, scope: Sequence[str], spec: WindowSpec = WindowSpec()) -> DataFrame:
+    """One row per scope: ``t0``, ``t1`` and ``n_windows``."""
+    bounds = df.groupBy(*scope).agg(F.min("ts_us").alias("t0"), F.max("ts_us").alias("t1")).filter("t0 is not null")
+    return bounds.withColumn("n_windows", _floor_div(F.col("t1") - F.col("t0"), spec.stride_us) + 1)
+
+
+def expand(bounds: DataFrame, spec: WindowSpec = WindowSpec()) -> DataFrame:
+    """Every window of each row of ``spans``: adds ``window_id, start_us, end_us``; long spans in chunks, as in ``grid``."""
+    chunks = bounds.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), _floor_div(F.col("n_windows") - 1, CHUNK))))
+    ids = chunks.withColumn("window_id", F.explode(F.sequence(
+        F.col("_c") * CHUNK, F.least((F.col("_c") + 1) * CHUNK, F.col("n_windows")) - 1))).drop("_c")
+    start = F.col("t0") + F.col("window_id") * spec.stride_us
+    return ids.withColumns({"start_us": start, "end_us": start + spec.size_us})
+
+
+def scoped_grid(df: DataFrame, scope: Sequence[str], spec: WindowSpec = WindowSpec()) -> DataFrame:
+    """The window grid of every scope, each from its own first timestamp."""
+    return expand(spans(df, scope, spec), spec).select(*scope, "window_id", "start_us", "end_us")
+
+
 def grid(df: DataFrame, spec: WindowSpec = WindowSpec()) -> DataFrame:
     """All windows whose start lies inside the data: ``window_id, start_us, end_us``.
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.operators.cleaning import standardize_columns
+from packetloom.operators.heavy import lookup
 from packetloom.session import task_slots
 
 
@@ -52,8 +53,8 @@ def read_zeek(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFra
     """Named fields of many Zeek logs plus ``capture_file``.
 
     Every log carries its own ``#fields`` line, so lines meet the names of their own file and
-    are turned into a map. The name table has one row per file; adaptive execution picks the join
-    by its size at run time and splits a file that holds most of the lines.
+    are turned into a map. The name table has one row per file; the lines of a file that holds many
+    of them stay where they are read.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"),
                                          F.col("_metadata.file_name").alias("capture_file"))
@@ -61,7 +62,7 @@ def read_zeek(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFra
     names = lines.filter(F.col("value").startswith("#fields")).groupBy("_file").agg(F.max("value").alias("_h")).select(
         "_file", F.slice(header, F.lit(2), F.size(header)).alias("_names"))
     rows = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    parsed = rows.join(names, "_file").withColumn("_v", F.split("value", "\t"))
+    parsed = lookup(rows, names, ["_file"]).withColumn("_v", F.split("value", "\t"))
     n = F.least(F.size("_names"), F.size("_v"))
     record = F.map_from_arrays(F.slice("_names", 1, n), F.slice("_v", 1, n))
     return parsed.withColumn("_m", record).select(

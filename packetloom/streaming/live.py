@@ -138,6 +138,20 @@ def late_report(stream: DataFrame, spec: WindowSpec = WindowSpec(), delay: str =
     return agg.select(F.unix_micros("w.start").alias("start_us"), "n")
 
 
+PROGRESS = "spark.sql.streaming.numRecentProgressUpdates"
+
+
+def keep_progress(spark: SparkSession, batches: int = 1_000_000) -> None:
+    """Let queries remember the progress of so many batches; Spark's own bound is 100."""
+    spark.conf.set(PROGRESS, str(batches))
+
+
 def dropped_rows(query) -> int:
-    """Rows the watermark dropped so far, summed over the progress of all batches."""
-    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+    """Rows the watermark dropped so far, summed over the progress of all batches.
+
+    Raises where Spark may have forgotten the first batches: see ``keep_progress``.
+    """
+    known = query.recentProgress
+    if len(known) >= int(SparkSession.getActiveSession().conf.get(PROGRESS, "100")):
+        raise ValueError("the first batches are forgotten; call keep_progress before the query starts")
+    return sum(op.numRowsDroppedByWatermark for p in known for op in p.stateOperators)

@@ -185,6 +185,6 @@ def test_pivot_rules_and_roles(spark):
     fin = spark.createDataFrame([("203.0.113.7", 1, 1, 9, [80]), ("10.0.0.105", 1, 1, 8, []), ("10.0.0.125", 1, 1, 7, []), ("10.0.0.9", 1, 1, 6, [1, 2, 3, 4, 5, 6])], schema)
     roles = {r.ip: r for r in topology.host_roles(topology.segment_hosts(fin)).collect()}
     assert roles["203.0.113.7"].name == "EXT-APT29-C2" and roles["10.0.0.105"].status == "targeted" and roles["10.0.0.125"].status == "elevated"
-    assert roles["10.0.0.9"].open_ports == [1, 2, 3, 4, 5] and roles["10.0.0.105"].open_ports == [445, 135]
+    assert roles["10.0.0.9"].shown_ports == [1, 2, 3, 4, 5] and roles["10.0.0.9"].open_ports == [1, 2, 3, 4, 5, 6] and roles["10.0.0.105"].open_ports == [445, 135]
     alone = topology.host_roles(topology.segment_hosts(fin.filter("ip <> '10.0.0.105'")))
     assert {r.ip: r.status for r in alone.collect()}["10.0.0.125"] == "targeted"

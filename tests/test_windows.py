@@ -107,3 +107,23 @@ def test_whole_span_fallback_and_padding(spark):
     assert [(r.start_us, r.end_us) for r in windows.grid_complete_only(df, SPEC).collect()] == [(10, 20)]
     pad = sequences.padded(windows.grid(df, SPEC), SPEC).orderBy("pos").collect()
     assert [r.pos for r in pad] == list(range(10)) and {r.window_id for r in pad} == {0}
+
+
+def test_captures_of_different_clocks_are_their_union(spark):
+    first = [(i * 1_300_000, i) for i in range(60)]
+    one = spark.createDataFrame([("a", t, i) for t, i in first], "capture string, ts_us bigint, i int")
+    two = spark.createDataFrame([("b", 10**12 + 7 * t, i) for t, i in first] + [("c", 5, 0)], "capture string, ts_us bigint, i int")
+    both = one.unionByName(two)
+    grids = sorted(tuple(r) for r in windows.scoped_grid(both, ["capture"], SPEC).collect())
+    single = [(c, *r) for c in "abc" for r in windows.grid(both.filter(f"capture = '{c}'"), SPEC).collect()]
+    assert grids == sorted(tuple(r) for r in single)
+    rows = sorted(tuple(r) for r in windows.scoped_assign(both, ["capture"], SPEC).select("capture", "i", "window_id").collect())
+    apart = [(c, r.i, r.window_id) for c in "abc" for r in windows.assign(both.filter(f"capture = '{c}'"), SPEC).collect()]
+    assert rows == sorted(apart)
+    seqs = sequences.scoped_build(both, ["capture"], SPEC).orderBy("seq_id").collect()
+    assert [r.seq_id for r in seqs] == list(range(len(seqs)))
+    for c in "abc":
+        alone = sequences.build(both.filter(f"capture = '{c}'"), SPEC).orderBy("seq_id").collect()
+        assert [(r.first_window, r.input_end_us) for r in seqs if r.capture == c] == [(r.first_window, r.input_end_us) for r in alone]
+    pad = {r.pos: r.window_id for r in sequences.scoped_padded(both, ["capture"], SPEC).filter("capture = 'c'").collect()}
+    assert pad == {i: 0 for i in range(10)}
