@@ -12,7 +12,7 @@ from catalog.graph_queries import r6cols
 from catalog.label_sql import HCONF, HSTAGE, HTECH
 from packetloom.operators import evaluation as ev
 from packetloom.session import scratch_path
-from packetloom.sources import captures, tables
+from packetloom.sources import capture_source, captures, tables
 from packetloom.sources.telemetry import packets, table
 from packetloom.streaming import live
 
@@ -113,14 +113,26 @@ def capture_files(spark, sf):
     return files.select(F.concat(F.lit("capture-"), F.col("c"), F.lit(".pcap")).alias("path"), F.unhex(F.concat(F.lit(head), body)).alias("content"))
 
 
-@register("src_capture_packets", f"""WITH {PACKETS} SELECT 'capture-' || (pkt_id // 1000) || '.pcap' AS path, row_number() OVER (PARTITION BY pkt_id // 1000 ORDER BY pkt_id) - 1 AS frame_no, ts_us, src_ip, dst_ip, src_port, dst_port,
+CAPTURE_SQL = f"""WITH {PACKETS} SELECT 'capture-' || (pkt_id // 1000) || '.pcap' AS path, row_number() OVER (PARTITION BY pkt_id // 1000 ORDER BY pkt_id) - 1 AS frame_no, ts_us, src_ip, dst_ip, src_port, dst_port,
  protocol, ttl, tcp_window, k % 9 = 0 AS ip_frag_flag, CASE WHEN protocol = 6 THEN 20 ELSE 8 END + payload_size % 200 AS payload_size,
  flag_syn AND protocol = 6 AS flag_syn, flag_ack AND protocol = 6 AS flag_ack, flag_rst AND protocol = 6 AS flag_rst, flag_fin AND protocol = 6 AS flag_fin, false AS flag_psh, false AS flag_urg,
- tcp_seq, CASE WHEN protocol = 6 THEN CAST(0 AS BIGINT) END AS tcp_ack, CASE WHEN protocol = 6 THEN 20 END AS tcp_header_len FROM p""")
+ tcp_seq, CASE WHEN protocol = 6 THEN CAST(0 AS BIGINT) END AS tcp_ack, CASE WHEN protocol = 6 THEN 20 END AS tcp_header_len FROM p"""
+
+
+@register("src_capture_packets", CAPTURE_SQL)
 def _(spark, sf):
     return captures.read_packets(capture_files(spark, sf)).drop("pkt_id")
 
 
+@register("src_capture_ranges", f"SELECT * EXCLUDE (frame_no) FROM ({CAPTURE_SQL})")
+def _(spark, sf):
+    """The same captures as files, read in ranges far smaller than a file."""
+    folder = scratch_path(spark, "captures")
+    capture_source.write_files(capture_files(spark, sf), folder)
+    out = capture_source.read_packets(spark, folder, 16 << 10).drop("pkt_id")
+    return out.withColumn("path", F.element_at(F.split("path", "/"), -1))
+
+
 @register("ingest_ledger", """WITH h AS (SELECT doc_id, sha256(text) AS sha256 FROM documents)
  SELECT sha256, min(lpad(CAST(doc_id AS VARCHAR), 12, '0')) AS path FROM h WHERE sha256 NOT IN (SELECT sha256 FROM h WHERE doc_id % 3 = 0) GROUP BY sha256""")
 def _(spark, sf):
