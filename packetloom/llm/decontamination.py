@@ -139,7 +139,7 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     Rows are told apart by a hash of id and text, so only rows that are equal in both go together.
     """
     key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
-    keyed = docs.withColumn("_key", key)
-    found = search(keyed.select(F.col("_key").alias("doc_id"), "text"), items)
-    flagged = found.filter(F.size("hits") > 0).select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(flagged, "_key", "left_anti").select(*docs.columns)
+    keyed = docs.select(key.alias("key"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))  # the table's own columns may have any names
+    found = search(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), items)
+    flagged = found.filter(F.size("hits") > 0).select(F.col("doc_id").alias("key")).distinct()
+    return keyed.join(flagged, "key", "left_anti").select("row.*")

@@ -146,13 +146,14 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
     (see ``near_copies``; two fingerprint bits, as above, are far narrower). Only rows with equal id and text share
     a row hash; one of them stays.
     """
-    rows = docs.withColumn("_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    found = saved(groups(rows, "_key", width, similarity), "groups")
-    keyed = found.groupBy(F.col("id").alias("_key"), "root").agg(F.count("*").alias("copies"))
-    ids = rows.select("_key", "doc_id").distinct()
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_key", "copies")
-    first = keyed.join(ids, "_key").groupBy("root").agg(F.min(order).alias("first"))
-    kept = saved(first.select("first._key", "first.copies"), "kept")
-    single = rows.join(kept.filter("copies = 1"), "_key", "left_semi")
-    repeated = rows.join(kept.filter("copies > 1"), "_key", "left_semi").dropDuplicates(["_key"])
-    return single.unionByName(repeated).select(*docs.columns)
+    whole = F.struct(*[F.col(c) for c in docs.columns])  # the table's own columns may have any names
+    rows = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"), "doc_id", "text", whole.alias("row"))
+    found = saved(groups(rows.select("key", "text"), "key", width, similarity), "groups")
+    keyed = found.groupBy(F.col("id").alias("key"), "root").agg(F.count("*").alias("copies"))
+    ids = rows.select("key", "doc_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key", "copies")
+    first = keyed.join(ids, "key").groupBy("root").agg(F.min(order).alias("first"))
+    kept = saved(first.select("first.key", "first.copies"), "kept")
+    single = rows.join(kept.filter("copies = 1"), "key", "left_semi")
+    repeated = rows.join(kept.filter("copies > 1"), "key", "left_semi").dropDuplicates(["key"])
+    return single.unionByName(repeated).select("row.*")

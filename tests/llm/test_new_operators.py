@@ -211,3 +211,19 @@ def test_a_full_filter_changes_nothing(spark):
     narrow, full = (lexical_search.index(docs, b) for b in (lexical_search.term_filter(terms), bits))
     wanted = terms.select("term").distinct()
     assert listed(narrow.select("term", "df").join(wanted, "term")) == listed(full.select("term", "df").join(wanted, "term"))
+
+
+# --- stages of the pipeline on tables whose columns clash with helper names
+
+def test_stages_keep_clashing_columns(spark):
+    from packetloom.llm import decontamination, simhash_dedup
+
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, words, 5, "a", "r"), (2, words + " more", 6, "b", None), (None, "quite another text", 7, None, "s"), (3, None, 8, "c", "t"), (None, "", 9, "d", "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `key` int, `row` string, `root` string")
+    kept = simhash_dedup.keep_one(docs)
+    # texts without a word are copies of each other
+    assert kept.columns == docs.columns and listed(kept) == sorted((r for r in rows if r[2] not in (6, 9)), key=str)
+    items = spark.createDataFrame([(1, "quite another text")], "item_id long, text string")
+    clean = decontamination.clean(docs, items)
+    assert clean.columns == docs.columns and listed(clean) == sorted((r for r in rows if r[2] != 7), key=str)
