@@ -8,7 +8,8 @@ from catalog.flow_queries import CANON
 from catalog.window_queries import B, pw
 from packetloom import fixed_values as fv
 from packetloom.config import WindowSpec
-from packetloom.operators import flows, graph
+from packetloom.operators import flows, graph, registry
+from packetloom.session import scratch_path
 from packetloom.sources.telemetry import packets
 
 SPEC = WindowSpec()
@@ -109,6 +110,17 @@ def _(spark, sf):
     return graph.capture_registry(packets(spark, sf))
 
 
+@register("node_registry_runs", f"""WITH {PACKETS}, e AS (SELECT pkt_id % 3 AS run, ts_us, unnest([src_ip, dst_ip]) AS ip FROM p),
+ s AS (SELECT ip, arg_min(f, run) AS f, min(run) AS run FROM (SELECT ip, run, min(ts_us) AS f FROM e GROUP BY ALL) GROUP BY ip)
+ SELECT ip, row_number() OVER (ORDER BY run, f, ip) - 1 AS node_id, run FROM s""")
+def _(spark, sf):
+    """Three runs append to one registry, the second of them twice."""
+    path = scratch_path(spark, "registry")
+    for run in (0, 1, 1, 2):
+        registry.register_hosts(packets(spark, sf).filter(F.col("pkt_id") % 3 == run), path, run)
+    return registry.read_registry(spark, path).withColumnRenamed("batch", "run")
+
+
 @register("node_index_sorted", f"""WITH {PACKETS} SELECT ip, row_number() OVER (ORDER BY ip) - 1 AS node_id
  FROM (SELECT DISTINCT ip FROM {ENDS.format(g='', t='p')})""")
 def _(spark, sf):

@@ -149,20 +149,21 @@ def node_features(df: DataFrame, spec: WindowSpec = WindowSpec(), timing: DataFr
 
 # -- identifiers ---------------------------------------------------------------------------
 
-def _first_seen(df: DataFrame, by: list[str]) -> DataFrame:
+def first_seen(df: DataFrame, by: list[str]) -> DataFrame:
+    """Hosts and the time of their first packet, per ``by`` columns."""
     ends = df.select(*by, "ts_us", F.explode(F.array("src_ip", "dst_ip")).alias("ip"))
     return ends.groupBy(*by, "ip").agg(F.min("ts_us").alias("first_us"))
 
 
 def window_registry(df: DataFrame, spec: WindowSpec = WindowSpec()) -> DataFrame:
     """Host ids 0.. inside each window, by first appearance then address."""
-    seen = _first_seen(windows.assign(df.select("ts_us", "src_ip", "dst_ip"), spec, windows.origin(df)), ["window_id"])
+    seen = first_seen(windows.assign(df.select("ts_us", "src_ip", "dst_ip"), spec, windows.origin(df)), ["window_id"])
     return positions(seen, ["first_us", "ip"], within=["window_id"], name="node_id").select("window_id", "ip", "node_id")
 
 
 def capture_registry(df: DataFrame) -> DataFrame:
     """Host ids 0.. over the whole capture, by first appearance then address."""
-    return positions(_first_seen(df, []), ["first_us", "ip"], name="node_id").select("ip", "node_id")
+    return positions(first_seen(df, []), ["first_us", "ip"], name="node_id").select("ip", "node_id")
 
 
 def sorted_registry(edges: DataFrame, src: str = "src_ip", dst: str = "dst_ip") -> DataFrame:
