@@ -5,19 +5,27 @@ is a handful of flat arrays. Nodes are ordered by level, highest first, so the n
 the first n_l and each level is one table of neighbour numbers. Construction and search advance
 many vectors in step: every round expands the best open candidates of all of them at once.
 Inner product becomes an angle by one more coordinate that lifts all vectors to the same length.
+Shards are ranges of vector length, so that this coordinate stays small within each of them; hashed
+shards lose up to half of the neighbours where lengths differ.
 """
 
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from packetloom.llm.common import saved
+from packetloom.llm.common import arrow_schema, saved
+
+#: Most vector components of one shard: 64 MB as doubles.
+SHARD_COMPONENTS = 8 << 20
+HITS = "class string, near string, score double, wide int"
 
 
 class Graph:
@@ -176,14 +184,52 @@ def valid(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def build_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Indexes of one partition, a row per dimension: ``dims``, ``shard``, ``index``. Options come with the rows."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    rows = pa.Table.from_batches(held).to_pandas()
+    for dims, part in rows.groupby("dims"):
+        blob = build_shard(part["class"].to_numpy(), np.stack(part["vector"].to_numpy()), int(part["links"].iat[0]), int(part["ef"].iat[0]))
+        yield pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([part["shard"].iat[0]], pa.int32()), pa.array([blob], pa.binary())],
+                                         names=["dims", "shard", "index"])
+
+
+def search_shards(batches: Iterator[pa.RecordBatch], schema: pa.Schema, ef: int) -> Iterator[pa.RecordBatch]:
+    """Hits of rows sorted by shard and dimension, each shard's index before its queries: one index in memory at a time."""
+    kept = graph = None
+    for batch in batches:
+        blobs, asked = batch.column("index"), []
+        for at in [*np.flatnonzero(blobs.is_valid().to_numpy(zero_copy_only=False)).tolist(), batch.num_rows]:
+            first = asked[-1] + 1 if asked else 0
+            asked.append(at)
+            if at > first:  # queries of the index read last
+                part = batch.slice(first, at - first)
+                queries = np.stack(part.column("vector").to_numpy(zero_copy_only=False))
+                wide = part.column("wide").to_numpy()
+                flat = np.concatenate([queries, np.zeros((len(queries), 1), queries.dtype)], axis=1).astype(np.float32)
+                found = graph.search(flat, int(wide.max()), ef)
+                row, col = np.nonzero((found >= 0) & (np.arange(found.shape[1]) < wide[:, None]))
+                near = found[row, col]
+                score = np.einsum("ij,ij->i", kept["originals"][near].astype(np.float64), queries[row].astype(np.float64))
+                names = part.column("class").to_numpy(zero_copy_only=False)[row]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(kept["classes"][near], pa.string()), pa.array(score),
+                                                  pa.array(wide[row], pa.int32())], schema=schema)
+            if at < batch.num_rows:
+                kept = pickle.loads(blobs[at].as_py())
+                graph = Graph(kept["lifted"], kept["sizes"], kept["tables"])
+
+
 def neighbours(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", links: int = 16,
-               ef_build: int = 64, ef_search: int = 96, min_shards: int = 8, shard_rows: int = 50_000, query_block: int = 8_192) -> DataFrame:
+               ef_build: int = 64, ef_search: int = 160, min_shards: int = 8, shard_rows: int = 16_384) -> DataFrame:
     """``query_id``, ``rank``, ``id``, ``score`` of the ``k`` candidates with the largest inner product.
 
     Vectors that are null, zero or hold null or non-finite components, and rows without an id, take
     no part. Only vectors of the same dimension are compared. A query meets every other row, equal
     vectors included, but no row of its own id; ties go to the smaller id. Repeated ids are candidates each;
-    a repeated query row returns its list once. Shards hold at most about ``shard_rows`` distinct vectors.
+    a repeated query row returns its list once. Shards are ranges of vector length of about ``shard_rows`` distinct
+    vectors, fewer where vectors are long (``SHARD_COMPONENTS``); ``ef_search`` is chosen for that size.
     """
     rows = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), is_query.alias("is_query"))
     rows = rows.filter(valid(F.col("vector")) & F.col("id").isNotNull())
@@ -194,44 +240,26 @@ def neighbours(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
                .agg(F.sort_array(F.collect_list(F.struct("id", F.least("copies", F.lit(k)).cast("int").alias("copies")))).alias("members")))
     name = F.concat(F.hex(F.xxhash64("vector")), F.lit(":"), F.col("members")[0]["id"].cast("string"))
     classes = saved(classes.withColumn("class", name), "classes")
-    shards = max(min_shards, -(-classes.count() // shard_rows))
-    shard = F.pmod(F.xxhash64("class"), F.lit(shards)).cast("int")
     dims = F.size("vector").alias("dims")
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        blob = build_shard(pdf["class"].to_numpy(), np.stack(pdf["vector"].to_numpy()), links, ef_build)
-        return pd.DataFrame({"dims": [pdf["dims"].iat[0]], "shard": [pdf["shard"].iat[0]], "index": [blob]})
-
-    index = saved(classes.select("class", "vector", dims, shard.alias("shard")).groupBy("dims", "shard")
-                  .applyInPandas(build, "dims int, shard int, index binary"), "index")
+    n, components = classes.agg(F.count("*"), F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()
+    shards = max(min_shards, -(-n // shard_rows), -(-components // SHARD_COMPONENTS))
+    square = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x.cast("double") * x).alias("square")
+    ranged = classes.select("class", "vector", dims, square).repartitionByRange(shards, "square", "class")
+    ranged = ranged.select("class", "vector", "dims", F.spark_partition_id().alias("shard"), F.lit(links).alias("links"), F.lit(ef_build).alias("ef"))
+    index = saved(ranged.mapInArrow(build_shards, "dims int, shard int, index binary"), "index")
 
     asked = rows.filter("is_query").select(F.col("id").alias("query_id"), "vector").distinct()
     # as many more classes are fetched as a query's own id may fill
     spread = owned.groupBy(F.col("id").alias("query_id")).agg(F.count("*").cast("int").alias("own"))
     asked = saved(asked.join(classes.select("vector", "class"), "vector").join(spread, "query_id").select("query_id", "class", "own"), "asked")
     wide = asked.groupBy("class").agg((F.max("own") + k).alias("wide"))
-    wanted = classes.join(wide, "class").select("class", "vector", "wide", dims)
-    blocks = max(1, -(-asked.count() // query_block))
-    wanted = wanted.withColumn("block", F.pmod(F.xxhash64("class", F.lit(1)), F.lit(blocks)).cast("int"))
-    wanted = wanted.join(index.select(F.col("dims").alias("d"), F.col("shard").alias("s")), F.col("dims") == F.col("d"))
-    wanted = wanted.select("class", "vector", "wide", "dims", F.col("s").alias("shard"), "block")
-    copies = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"class": [], "near": [], "score": [], "wide": []})
-        kept = pickle.loads(right["index"].iat[0])
-        queries = np.stack(left["vector"].to_numpy())
-        graph = Graph(kept["lifted"], kept["sizes"], kept["tables"])
-        flat = np.concatenate([queries, np.zeros((len(queries), 1), queries.dtype)], axis=1).astype(np.float32)
-        found = graph.search(flat, int(left["wide"].max()), ef_search)
-        row, col = np.nonzero(found >= 0)
-        near = found[row, col]
-        score = np.einsum("ij,ij->i", kept["originals"][near].astype(np.float64), queries[row].astype(np.float64))
-        return pd.DataFrame({"class": left["class"].to_numpy()[row], "near": kept["classes"][near], "score": score, "wide": left["wide"].to_numpy()[row]})
-
-    hits = wanted.groupBy("dims", "shard", "block").cogroup(copies.groupBy("dims", "shard", "block")).applyInPandas(
-        search, "class string, near string, score double, wide int")
+    places = index.select(F.col("dims").alias("d"), "shard")
+    wanted = classes.join(wide, "class").select("class", "vector", "wide", dims).join(places, F.col("dims") == F.col("d"))
+    # every query goes past every shard, and every index is sent once: its queries follow it in sorted order
+    met = (index.withColumn("turn", F.lit(0)).unionByName(wanted.drop("d").withColumn("turn", F.lit(1)), allowMissingColumns=True)
+           .repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "dims", "turn", "class"))
+    arrow = arrow_schema(HITS)
+    hits = met.select("index", "class", "vector", "wide").mapInArrow(lambda batches: search_shards(batches, arrow, ef_search), HITS)
     least = F.split("near", ":")[1].cast("long")
     best = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("score"), least))
     hits = hits.withColumn("n", best).filter("n <= wide").drop("n", "wide")

@@ -3,6 +3,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,22 @@ def test_neighbours_recall_and_ties(spark):
     assert hits / total >= 0.9
 
 
+def test_neighbours_recall_of_unequal_lengths_in_full_shards(spark):
+    """Random vectors, the hardest case, in shards wider than the search: lengths differ by a factor of six."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(12_000, 48))
+    v *= (rng.lognormal(0, 0.3, len(v)) / np.linalg.norm(v, axis=1))[:, None]
+    v = v.astype(np.float32)
+    rows_in = pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": v.tolist(), "class": "own", "shard": 1})
+    got = ann.neighbours(spark.createDataFrame(rows_in, "vec_id long, embedding array<float>, class string, shard int"), F.col("vec_id") % 60 == 0).toPandas()
+    sims = v[::60].astype(float) @ v.T.astype(float)
+    sims[np.arange(len(sims)), np.arange(0, len(v), 60)] = -np.inf
+    true = np.argsort(-sims, axis=1)[:, :20]
+    hits = sum(len(set(true[q // 60].tolist()) & set(part["id"])) for q, part in got.groupby("query_id"))
+    assert len(got) == true.size and hits / true.size >= 0.9
+    assert np.allclose(got["score"], sims[got["query_id"] // 60, got["id"]])
+
+
 def test_neighbours_odd_vectors(spark):
     data = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (20, [0.5, 0.5]), (None, [1.0, 1.0]), (40, [1.0, 2.0, 3.0])]
     got = ann.neighbours(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=3).collect()
