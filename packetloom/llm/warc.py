@@ -66,16 +66,23 @@ def balanced_ranges(keys: DataFrame, column: str, weight: str, parts: int, bins:
     return ranges
 
 
-def shard_of(ranges: list[tuple[int, int]]):
-    """``page id, digest -> shard``; ids below the first range and null ids go to shard 0."""
+def shard_of(ranges: list[tuple[int, int]], unnamed: int = 0):
+    """``page id, digest -> shard``, and the number of shards.
+
+    Null ids have the first ``unnamed`` shards (at least one where such a row comes), by their digest. Ids below
+    the first range go to that range; a range of several shards is dealt by digest.
+    """
     starts = np.array([r[0] for r in ranges], np.int64)
-    first = np.concatenate([[0], np.cumsum([r[1] for r in ranges])])
+    first = unnamed + np.concatenate([[0], np.cumsum([r[1] for r in ranges])])
+
+    def part(sha: bytes, parts: int) -> int:
+        return int.from_bytes(sha[:4], "big") * parts >> 32
 
     def shard(page_id, sha: bytes) -> int:
         if page_id is None:
-            return 0
+            return part(sha, max(1, unnamed))
         at = max(int(np.searchsorted(starts, page_id, side="right")) - 1, 0)
-        return int(first[at] + sha[0] * ranges[at][1] // 256)
+        return int(first[at]) + part(sha, ranges[at][1])
 
     return shard, int(first[-1])
 
@@ -188,8 +195,10 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 32 << 20, roll_bytes
     spark = pages.sparkSession
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     keys = saved(rows.select("page_id", F.unhex(F.sha1("html")).alias("sha"), F.octet_length("html").cast("long").alias("n")), "pagekeys")
-    total = keys.agg(F.sum(F.col("n") + 512)).first()[0] or 0
-    shard, count = shard_of(balanced_ranges(keys.withColumn("n", F.col("n") + 512), "page_id", "n", max(1, -(-total // shard_bytes))))
+    weight = F.col("n") + 512
+    named, unnamed = keys.agg(*[F.coalesce(F.sum(F.when(c, weight)), F.lit(0)) for c in (F.col("page_id").isNotNull(), F.col("page_id").isNull())]).first()
+    ranges = balanced_ranges(keys.filter("page_id is not null").withColumn("n", weight), "page_id", "n", max(1, -(-named // shard_bytes)))
+    shard, count = shard_of(ranges, -(-unnamed // shard_bytes))
     same = keys.groupBy("sha").agg(F.count("*").alias("copies"), F.max("page_id").alias("response_id")).filter("copies > 1").drop("copies")
     copies = keys.select("page_id", "sha").distinct().join(same, "sha")
 
