@@ -1,5 +1,8 @@
 import hashlib
+import math
+import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -48,6 +51,38 @@ def test_guess_cost_orders_values():
     assert cost("correcthorse")[1] and cost("passwordqwerty")[1] == [("word", 0, 8), ("word", 8, 14)]
 
 
+@pytest.mark.parametrize("value", ["pass2001", "aab1999x", "qwe!!!90", "abc12pw0", "Dragon7", "x", "1999-1-2", "drowssap", "zzzzabcd"])
+def test_guess_cost_is_the_least_of_all_segmentations(value):
+    pieces = secrets.piece_finder()(value)
+
+    def every(end):
+        """(cost, number of parts) of every way to cut the first ``end`` characters."""
+        if not end:
+            yield 0.0, 0
+        for start in range(end):
+            steps = [end - start] + [c for s, c, _ in pieces.get(end, ()) if s == start]
+            for before, parts in every(start):
+                for step in steps:
+                    yield before + step, parts + 1
+
+    least = min(max(c + math.log10(math.factorial(p)), 4.0 * (p - 1)) for c, p in every(len(value)))
+    found, parts = secrets.guess_matcher()(value)
+    assert found == pytest.approx(least, abs=1e-9)
+    assert [a for _, a, _ in parts] == [0, *(b for _, _, b in parts[:-1])] and parts[-1][2] == len(value)
+
+
+def test_guess_cost_of_a_megabyte():
+    value = "".join(random.Random(3).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000))
+    tracemalloc.start()
+    try:
+        guesses, parts = secrets.guess_matcher()(value[:200_000])
+        assert tracemalloc.get_traced_memory()[1] < 120 << 20
+    finally:
+        tracemalloc.stop()
+    whole, cut = secrets.guess_matcher()(value)
+    assert whole > 4 * guesses and cut[0][1] == 0 and cut[-1][2] == len(value) and len(cut) <= secrets.MAX_PARTS
+
+
 def test_guess_spans_add_to_the_base(spark):
     text = "pwd: 'S3!kq#Zp0w' and secret: changeme"
     found = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["spans"]
@@ -451,6 +486,30 @@ def test_cuts_are_optimal():
         assert cuts[-1] == pos[-1] and sum(cost(a, b) for a, b in zip(at, at[1:])) == pytest.approx(best[-1])
 
 
+def test_decoding_is_the_best_of_all_segmentations():
+    rng = np.random.default_rng(6)
+    for text in ("9 8 7 6", "5 a@b.c", "is 1.2 x"):
+        for _ in range(5):  # scores far below zero, and moves that make up for them
+            field = pii.Field(rng.normal(-1, 1.5, (len(pii.KINDS), pii.FEATURES)), rng.normal(0, 6, (len(pii.KINDS) + 1,) * 2))
+            borders, segments = pii.lattice(text, 0, len(text))
+            scored = field.scores(segments)
+
+            def every(at):
+                """(score, path) of every way to label the first ``at`` words; a path's last entry is its label."""
+                if not at:
+                    yield 0.0, [], 0
+                    return
+                for total, path, label in every(at - 1):
+                    yield total + field.moves[label, 0], path, 0
+                for s, (i, j, _) in enumerate(segments):
+                    if j == at:
+                        for total, path, label in every(i):
+                            for y in range(len(pii.KINDS)):
+                                yield total + field.moves[label, y + 1] + scored[s, y], [*path, (pii.KINDS[y], borders[i], borders[j])], y + 1
+
+            assert field.decode(text, 0, len(text)) == max(every(len(borders) - 1), key=lambda x: x[0])[1]
+
+
 # --- 10 archives
 
 @pytest.mark.parametrize("codec", ["zst", "gz"])
@@ -479,6 +538,15 @@ def test_archives_round_trip(spark, tmp_path, codec):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_pages_without_an_id_are_spread(spark, tmp_path):
+    data = [(None, f"u{i}", f"page {i} " * 40) for i in range(300)] + [(i, "p", f"own {i} " * 40) for i in range(300)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    manifest = warc.write(pages, str(tmp_path / "n"), shard_bytes=30_000)
+    first = [r for r in manifest.collect() if r["first_page"] is None]
+    assert len(first) >= 5 and max(r["records"] for r in first) < 150
+    assert warc.read(manifest, str(tmp_path / "n")).filter("page_id is null").count() == 300
+
+
 # --- all
 
 @pytest.mark.parametrize("run", [lambda d: secrets.digest(secrets.scan(d)), lambda d: pii.digest(pii.scan(d))])
