@@ -185,14 +185,14 @@ def valid(vector: Column) -> Column:
 
 
 def build_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Indexes of one partition, a row per dimension: ``dims``, ``shard``, ``index``. Options come with the rows."""
+    """Indexes of one partition, a row per dimension and shard: ``dims``, ``shard``, ``index``. Options come with the rows."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     rows = pa.Table.from_batches(held).to_pandas()
-    for dims, part in rows.groupby("dims"):
+    for (dims, shard), part in rows.groupby(["dims", "shard"]):
         blob = build_shard(part["class"].to_numpy(), np.stack(part["vector"].to_numpy()), int(part["links"].iat[0]), int(part["ef"].iat[0]))
-        yield pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([part["shard"].iat[0]], pa.int32()), pa.array([blob], pa.binary())],
+        yield pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([shard], pa.int32()), pa.array([blob], pa.binary())],
                                          names=["dims", "shard", "index"])
 
 
@@ -222,14 +222,15 @@ def search_shards(batches: Iterator[pa.RecordBatch], schema: pa.Schema, ef: int)
 
 
 def neighbours(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", links: int = 16,
-               ef_build: int = 64, ef_search: int = 160, min_shards: int = 8, shard_rows: int = 16_384) -> DataFrame:
+               ef_build: int = 64, ef_search: int = 160, ranges: int = 8, shard_rows: int = 16_384) -> DataFrame:
     """``query_id``, ``rank``, ``id``, ``score`` of the ``k`` candidates with the largest inner product.
 
     Vectors that are null, zero or hold null or non-finite components, and rows without an id, take
     no part. Only vectors of the same dimension are compared. A query meets every other row, equal
     vectors included, but no row of its own id; ties go to the smaller id. Repeated ids are candidates each;
-    a repeated query row returns its list once. Shards are ranges of vector length of about ``shard_rows`` distinct
-    vectors, fewer where vectors are long (``SHARD_COMPONENTS``); ``ef_search`` is chosen for that size.
+    a repeated query row returns its list once. The vectors are cut into ``ranges`` of about equal numbers by their length,
+    and each range by a hash into shards of about ``shard_rows`` distinct vectors, fewer where vectors have many
+    components (``SHARD_COMPONENTS``); ``ef_search`` is chosen for that size.
     """
     rows = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), is_query.alias("is_query"))
     rows = rows.filter(valid(F.col("vector")) & F.col("id").isNotNull())
@@ -241,11 +242,18 @@ def neighbours(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     name = F.concat(F.hex(F.xxhash64("vector")), F.lit(":"), F.col("members")[0]["id"].cast("string"))
     classes = saved(classes.withColumn("class", name), "classes")
     dims = F.size("vector").alias("dims")
-    n, components = classes.agg(F.count("*"), F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()
-    shards = max(min_shards, -(-n // shard_rows), -(-components // SHARD_COMPONENTS))
-    square = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x.cast("double") * x).alias("square")
-    ranged = classes.select("class", "vector", dims, square).repartitionByRange(shards, "square", "class")
-    ranged = ranged.select("class", "vector", "dims", F.spark_partition_id().alias("shard"), F.lit(links).alias("links"), F.lit(ef_build).alias("ef"))
+    # a range of lengths is widened by a thousandth, so that vectors of one length are dealt over several ranges
+    widened = F.lit(1.0) + F.pmod(F.xxhash64("class"), F.lit(1 << 20)) / F.lit(1000.0 * (1 << 20))
+    square = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x.cast("double") * x) * widened
+    measured = classes.select("class", "vector", dims, square.alias("square"))
+    n, components, bounds = measured.agg(F.count("*"), F.coalesce(F.sum("dims"), F.lit(0)),
+                                         F.percentile_approx("square", [i / ranges for i in range(1, ranges)])).first()
+    parts = max(1, -(-n // (shard_rows * ranges)), -(-components // (SHARD_COMPONENTS * ranges)))  # shards of a range
+    shards = ranges * parts
+    band = sum((F.col("square") > b).cast("int") for b in bounds or [])
+    shard = F.lit(band) * parts + F.pmod(F.xxhash64("class", F.lit(2)), F.lit(parts)).cast("int")
+    ranged = measured.select("class", "vector", "dims", shard.cast("int").alias("shard"), F.lit(links).alias("links"), F.lit(ef_build).alias("ef"))
+    ranged = ranged.repartitionById(shards, F.col("shard"))
     index = saved(ranged.mapInArrow(build_shards, "dims int, shard int, index binary"), "index")
 
     asked = rows.filter("is_query").select(F.col("id").alias("query_id"), "vector").distinct()
