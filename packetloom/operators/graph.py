@@ -1,7 +1,9 @@
 """Host-to-host graphs per window, channel graphs and relational graph algebra.
 
-Packets are reduced once to directed edges per window (`edge_moments`); node features,
-pooling and what-if edits work on that much smaller table.
+Packets are reduced once to directed edges per pane, the slice of time that tiles stride and
+window (`pane_edges`). Sums, port sets and gap summaries of panes merge into windows (`edge_moments`), so no
+packet is ever copied into the windows that overlap it; node features, pooling and what-if
+edits work on those much smaller tables.
 """
 
 from __future__ import annotations
@@ -16,33 +18,65 @@ from packetloom.config import WindowSpec
 from packetloom.functions.columns import as_int, clip, finite_or, private_ip, ratio
 from packetloom.operators.heavy import heavy_keys, lookup
 from packetloom.operators import windows
-from packetloom.operators.ordering import gap_stats, positions
+from packetloom.operators.ordering import positions
 
 EDGE = ["window_id", "src_ip", "dst_ip"]
 
 
-def _window_rows(df: DataFrame, spec: WindowSpec) -> DataFrame:
-    """Packets or flows per window; missing optional columns take their documented defaults."""
+SUMS = ["n", "bytes", "syn", "ack", "rst", "fin", "retrans", "ttl_n", "ttl_s", "ttl_q", "win_n", "win_s"]
+PANE_EDGE = ["pane", "src_ip", "dst_ip"]
+
+
+def _plain_rows(df: DataFrame) -> DataFrame:
+    """Packets or flows with the columns edges need; missing optional ones take their documented defaults."""
     have = df.columns
     defaults = {"payload_size": F.lit(64), "flag_syn": F.lit(0), "flag_ack": F.lit(0), "flag_rst": F.lit(0),
                 "flag_fin": F.lit(0), "is_retransmission": F.lit(0), "dst_port": F.lit(1),
                 "ttl": F.lit(None).cast("double"), "tcp_window": F.lit(None).cast("double")}
-    cols = ["ts_us", "src_ip", "dst_ip"] + [
-        F.col(c) if c in have else d.alias(c) for c, d in defaults.items()]
-    return windows.assign(df.select(*cols), spec, windows.origin(df))
+    return df.select("ts_us", "src_ip", "dst_ip", *[F.col(c) if c in have else d.alias(c) for c, d in defaults.items()])
+
 
+def pane_edges(df: DataFrame, spec: WindowSpec = WindowSpec(), start: Column | None = None) -> DataFrame:
+    """Mergeable summary per (pane, source, destination), from one scan.
 
-def edge_moments(df: DataFrame, spec: WindowSpec = WindowSpec()) -> DataFrame:
-    """Mergeable sums per (window, source, destination)."""
+    ``SUMS``; ``ports``, the set of destination ports (65,536 at most); and the gaps between packets in order
+    of time: ``first``, ``last``, ``gap_q`` (sum of squares) and ``gap_max``. Packets of one microsecond and port
+    are added up before the order is taken, so a busy edge is small when it reaches its task.
+    """
     size = finite_or("payload_size")
     ttl, win = F.col("ttl").cast("double"), F.col("tcp_window").cast("double")
-    return _window_rows(df, spec).groupBy(*EDGE).agg(
-        F.count("*").alias("n"), F.sum(size).alias("bytes"),
-        *[F.sum(as_int(f"flag_{f}")).alias(f) for f in ("syn", "ack", "rst", "fin")],
-        F.sum(as_int("is_retransmission")).alias("retrans"),
-        F.count_distinct("dst_port").cast("double").alias("ports"),
-        F.count(ttl).alias("ttl_n"), F.sum(ttl).alias("ttl_s"), F.sum(ttl * ttl).alias("ttl_q"),
+    marks = windows.panes(_plain_rows(df), spec, windows.origin(df) if start is None else start).groupBy(*PANE_EDGE, "ts_us", "dst_port").agg(
+        F.count("*").alias("n"), F.sum(size).alias("bytes"), *[F.sum(as_int(f"flag_{f}")).alias(f) for f in ("syn", "ack", "rst", "fin")],
+        F.sum(as_int("is_retransmission")).alias("retrans"), F.count(ttl).alias("ttl_n"), F.sum(ttl).alias("ttl_s"), F.sum(ttl * ttl).alias("ttl_q"),
         F.count(win).alias("win_n"), F.sum(win).alias("win_s"))
+    gap = F.col("ts_us") - F.lag("ts_us").over(Window.partitionBy(*PANE_EDGE).orderBy("ts_us", "dst_port"))
+    return marks.withColumn("gap", gap).groupBy(*PANE_EDGE).agg(
+        *[F.sum(c).alias(c) for c in SUMS], F.collect_set("dst_port").alias("ports"), F.min("ts_us").alias("first"), F.max("ts_us").alias("last"),
+        F.sum(F.col("gap") * F.col("gap")).alias("gap_q"), F.max("gap").alias("gap_max"))
+
+
+def edge_moments(df: DataFrame, spec: WindowSpec = WindowSpec(), start: Column | None = None) -> DataFrame:
+    """``SUMS``, number of ``ports`` and gaps (``first``, ``last``, ``gap_q``, ``gap_max``) per (window, source, destination).
+
+    Panes merge in order: between two of them lies one more gap, from the last packet of the one to the first of the next.
+    """
+    placed = windows.over_panes(pane_edges(df, spec, start), spec)
+    between = F.col("first") - F.lag("last").over(Window.partitionBy(*EDGE).orderBy("pane"))
+    return placed.withColumn("between", between).groupBy(*EDGE).agg(
+        *[F.sum(c).alias(c) for c in SUMS],
+        F.size(F.array_distinct(F.flatten(F.collect_list("ports")))).cast("double").alias("ports"),
+        F.min("first").alias("first"), F.max("last").alias("last"),
+        F.sum(F.coalesce("gap_q", F.lit(0)) + F.coalesce(F.col("between") * F.col("between"), F.lit(0))).alias("gap_q"),
+        F.max(F.greatest("gap_max", "between")).alias("gap_max"))
+
+
+def _iat() -> list[Column]:
+    """Gap mean, std and max in seconds, clipped to 0..60, from merged moments; zero without a gap."""
+    n = F.col("n") - 1
+    span = (F.col("last") - F.col("first")).cast("decimal(18,0)")
+    spread = (n.cast("decimal(19,0)") * F.col("gap_q").cast("decimal(38,0)") - span * span).cast("double")
+    values = {"mean": span.cast("double") / n, "std": F.sqrt(F.greatest(spread, F.lit(0.0))) / n, "max": F.coalesce("gap_max", F.lit(0))}
+    return [clip(F.when(n > 0, v / F.lit(1e6)).otherwise(F.lit(0.0)), 0.0, 60.0).alias(f"iat_{s}") for s, v in values.items()]
 
 
 def _var_samp(n: Column, s: Column, q: Column) -> Column:
@@ -61,19 +95,17 @@ def with_bidi(edges: DataFrame) -> DataFrame:
 
 def edge_iat(df: DataFrame, spec: WindowSpec = WindowSpec()) -> DataFrame:
     """Gap mean, std and max per edge and window, clipped to 0..60 s."""
-    rows = windows.assign(df.select("ts_us", "src_ip", "dst_ip"), spec, windows.origin(df))
-    stats = gap_stats(rows, EDGE, tracks={"iat": F.lit(True)}, bucket_us=None)
-    return stats.select(*EDGE, *[clip(f"iat_{s}", 0.0, 60.0).alias(f"iat_{s}") for s in ("mean", "std", "max")])
+    return edge_moments(df.select("ts_us", "src_ip", "dst_ip"), spec).select(*EDGE, *_iat())
 
 
 def edge_features(df: DataFrame, spec: WindowSpec = WindowSpec(), timing: DataFrame | None = None) -> DataFrame:
-    """The 16 features of every directed edge per window, from packets or flow rows.
+    """The 16 features of every directed edge per window, from packets or flow rows, in one pass over them.
 
-    Sums and gaps both end partitioned by edge and join in place. ``timing`` may name a plainer
-    table with the same packets (time and hosts only) when ``df`` is the result of joins, so
-    that the gap branch does not repeat them.
+    Rows without a source or destination have no edge. ``timing`` may name a plainer table with the same packets
+    when ``df`` is the result of joins, so that the time origin does not repeat them.
     """
-    e = with_bidi(edge_moments(df, spec).join(edge_iat(df if timing is None else timing, spec), EDGE))
+    ends = F.col("src_ip").isNotNull() & F.col("dst_ip").isNotNull()
+    e = with_bidi(edge_moments(df, spec, windows.origin(df if timing is None else timing)).filter(ends)).select("*", *_iat())
     return e.select(
         *EDGE, F.log1p("n").alias("log_packet_count"), F.log1p("bytes").alias("log_byte_volume"),
         *[ratio(f, "n").alias(f"{f}_ratio") for f in ("syn", "ack", "rst", "fin")],
@@ -96,10 +128,11 @@ def node_features(df: DataFrame, spec: WindowSpec = WindowSpec(), timing: DataFr
     """The 16 features of every host per window.
 
     Each edge row is read from both ends, so one aggregate yields out- and in-side values
-    and the peer counts are plain row counts; only the port entropy needs packets again
-    (from ``timing`` when given, see ``edge_features``).
+    and the peer counts are plain row counts; only the port entropy reads packets again
+    (from ``timing`` when given, see ``edge_features``), as counts per pane, source and port.
     """
-    edges = edge_moments(df, spec)
+    plain = df if timing is None else timing
+    edges = edge_moments(df, spec, windows.origin(plain))
     ends = edges.select("window_id", "n", "bytes", "syn", "ack", "rst", "retrans", "ttl_n", "ttl_s", "ttl_q",
                         "win_n", "win_s", F.explode(F.array(
                             F.struct(F.col("src_ip").alias("ip"), F.lit(True).alias("out")),
@@ -116,8 +149,9 @@ def node_features(df: DataFrame, spec: WindowSpec = WindowSpec(), timing: DataFr
         F.count_if(out).alias("peers_out"), F.count_if(inn).alias("peers_in"),
         *[total(f"ttl_{m}", out).alias(f"o_{m}") for m in "nsq"],
         *[total(f"ttl_{m}", inn).alias(f"i_{m}") for m in "nsq"])
-    plain = df if timing is None else timing
-    ent = windows.port_entropy(_window_rows(plain, spec), ["window_id", "src_ip"])
+    sent = windows.panes(_plain_rows(plain).select("ts_us", "src_ip", "dst_port"), spec, windows.origin(plain))
+    counted = sent.groupBy("pane", "src_ip", "dst_port").agg(F.count("*").alias("n"))
+    ent = windows.port_entropy(windows.over_panes(counted, spec), ["window_id", "src_ip"], rows=F.sum("n"))
     joined = agg.join(ent.withColumnRenamed("src_ip", "ip"), ["window_id", "ip"], "left")
     sends = F.col("n_out").isNotNull()
     zero = F.lit(0)

@@ -43,6 +43,13 @@ def panes(df: DataFrame, spec: WindowSpec = WindowSpec(), start: Column | None =
     return df.withColumn("pane", _floor_div(rel, spec.pane_us))
 
 
+def over_panes(paned: DataFrame, spec: WindowSpec = WindowSpec()) -> DataFrame:
+    """One output row per (row with a ``pane``, window that contains the pane); every window is a run of whole panes."""
+    rel = F.col("pane") * F.lit(spec.pane_us)
+    first = F.greatest(F.lit(0).cast("bigint"), _floor_div(rel - spec.size_us, spec.stride_us) + 1)
+    return paned.withColumn("window_id", F.explode(F.sequence(first, _floor_div(rel, spec.stride_us))))
+
+
 def scoped_assign(df: DataFrame, scope: Sequence[str], spec: WindowSpec = WindowSpec()) -> DataFrame:
     """``assign`` with an origin of its own for every scope (a capture with its own clock)."""
     starts = df.groupBy(*scope).agg(F.min("ts_us").alias("_t0"))
@@ -140,9 +147,13 @@ def entropy(df: DataFrame, by: list[str], value: str, name: str = "entropy") ->
         F.sum(entropy_term(F.col("_c") / F.col("_t"))).alias(name))
 
 
-def port_entropy(df: DataFrame, by: list[str], port: str = "dst_port", name: str = "port_entropy") -> DataFrame:
-    """Same for a port column: its at most 65,536 counts per group fit a list, so no join is needed."""
-    counts = df.filter(F.col(port).isNotNull()).groupBy(*by, port).agg(F.count("*").alias("_c"))
+def port_entropy(df: DataFrame, by: list[str], port: str = "dst_port", name: str = "port_entropy",
+                 rows: Column | None = None) -> DataFrame:
+    """Same for a port column: its at most 65,536 counts per group fit a list, so no join is needed.
+
+    ``rows`` adds up how many rows each row stands for, where they have been counted before.
+    """
+    counts = df.filter(F.col(port).isNotNull()).groupBy(*by, port).agg((F.count("*") if rows is None else rows).alias("_c"))
     lists = counts.groupBy(*by).agg(F.collect_list("_c").alias("_l"), F.sum("_c").alias("_t"))
     return lists.select(*by, F.aggregate("_l", F.lit(0.0), lambda acc, c: acc + entropy_term(c / F.col("_t"))).alias(name))
 

@@ -188,3 +188,33 @@ def test_pivot_rules_and_roles(spark):
     assert roles["10.0.0.9"].shown_ports == [1, 2, 3, 4, 5] and roles["10.0.0.9"].open_ports == [1, 2, 3, 4, 5, 6] and roles["10.0.0.105"].open_ports == [445, 135]
     alone = topology.host_roles(topology.segment_hosts(fin.filter("ip <> '10.0.0.105'")))
     assert {r.ip: r.status for r in alone.collect()}["10.0.0.125"] == "targeted"
+
+
+def test_packets_are_scanned_once_and_never_copied_into_windows(spark):
+    df = spark.range(4000).select(F.col("id").alias("ts_us"), F.lit("10.0.0.1").alias("src_ip"), F.lit("10.0.0.2").alias("dst_ip"), F.lit(1000).alias("payload_size"))
+    plan = graph.edge_features(df, SPEC)._jdf.queryExecution().optimizedPlan().toString()
+    scans = [line for line in plan.splitlines() if "Range (" in line]
+    assert len(scans) == 2  # the packets, and their time origin as a scalar
+    top = plan.splitlines()
+    explode = next(i for i, line in enumerate(top) if "explode(sequence(" in line)
+    assert sum("Aggregate" in line for line in top[explode:] if "scalar" not in line) >= 2  # both steps of the pane summary lie below
+
+
+@pytest.mark.parametrize("size, stride", [(5_000_000, 2_500_000), (3_000_000, 2_000_000), (4_000_000, 4_000_000), (6_000_000, 1_000_000)])
+def test_gaps_of_panes_merge_into_windows(spark, size, stride):
+    rng = random.Random(size + stride)
+    rows = [(rng.randrange(12_000_000) // 1000 * 1000, rng.choice("ab"), "c", rng.randrange(5)) for _ in range(120)] + [(0, "a", "c", 1), (None, "a", "c", 1), (5, None, "c", 2)] * 2
+    df = spark.createDataFrame(rows, "ts_us bigint, src_ip string, dst_ip string, dst_port int")
+    got = {(r.window_id, r.src_ip): r for r in graph.edge_features(df, WindowSpec(size_us=size, stride_us=stride)).collect()}
+    want = {}
+    for w in range(13):
+        for ip in "ab":
+            own = sorted((t, p) for t, s, _, p in rows if t is not None and s == ip and w * stride <= t < w * stride + size)
+            if own:
+                want[w, ip] = own
+    assert set(got) == set(want)
+    for key, own in want.items():
+        gaps = [(b - a) / 1e6 for (a, _), (b, _) in zip(own, own[1:])]
+        r = got[key]
+        assert r.unique_dst_ports == len({p for _, p in own}) and r.log_packet_count == pytest.approx(math.log1p(len(own)))
+        assert (r.iat_mean, r.iat_std, r.iat_max) == pytest.approx((statistics.fmean(gaps) if gaps else 0, statistics.pstdev(gaps) if gaps else 0, max(gaps, default=0)))
