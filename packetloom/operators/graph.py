@@ -1,9 +1,9 @@
 """Host-to-host graphs per window, channel graphs and relational graph algebra.
 
 Packets are reduced once to directed edges per pane, the slice of time that tiles stride and
-window (`pane_edges`). Sums, port sets and gap summaries of panes merge into windows (`edge_moments`), so no
-packet is ever copied into the windows that overlap it; node features, pooling and what-if
-edits work on those much smaller tables.
+window (`pane_edges`). Sums, port sets and gap summaries of panes merge into windows (`edge_profile`), so no
+packet is ever copied into the windows that overlap it. Node features need sums alone (`edge_moments`), without
+order; pooling and what-if edits work on these much smaller tables.
 """
 
 from __future__ import annotations
@@ -36,6 +36,14 @@ def _plain_rows(df: DataFrame) -> DataFrame:
     return df.select("ts_us", "src_ip", "dst_ip", *[F.col(c) if c in have else d.alias(c) for c, d in defaults.items()])
 
 
+def _sums() -> list[Column]:
+    """The columns ``SUMS`` of plain rows."""
+    ttl, win = F.col("ttl").cast("double"), F.col("tcp_window").cast("double")
+    return [F.count("*").alias("n"), F.sum(finite_or("payload_size")).alias("bytes"), *[F.sum(as_int(f"flag_{f}")).alias(f) for f in ("syn", "ack", "rst", "fin")],
+            F.sum(as_int("is_retransmission")).alias("retrans"), F.count(ttl).alias("ttl_n"), F.sum(ttl).alias("ttl_s"), F.sum(ttl * ttl).alias("ttl_q"),
+            F.count(win).alias("win_n"), F.sum(win).alias("win_s")]
+
+
 def pane_edges(df: DataFrame, spec: WindowSpec = WindowSpec(), start: Column | None = None) -> DataFrame:
     """Mergeable summary per (pane, source, destination), from one scan.
 
@@ -43,12 +51,8 @@ def pane_edges(df: DataFrame, spec: WindowSpec = WindowSpec(), start: Column | N
     of time: ``first``, ``last``, ``gap_q`` (sum of squares) and ``gap_max``. Packets of one microsecond and port
     are added up before the order is taken, so a busy edge is small when it reaches its task.
     """
-    size = finite_or("payload_size")
-    ttl, win = F.col("ttl").cast("double"), F.col("tcp_window").cast("double")
-    marks = windows.panes(_plain_rows(df), spec, windows.origin(df) if start is None else start).groupBy(*PANE_EDGE, "ts_us", "dst_port").agg(
-        F.count("*").alias("n"), F.sum(size).alias("bytes"), *[F.sum(as_int(f"flag_{f}")).alias(f) for f in ("syn", "ack", "rst", "fin")],
-        F.sum(as_int("is_retransmission")).alias("retrans"), F.count(ttl).alias("ttl_n"), F.sum(ttl).alias("ttl_s"), F.sum(ttl * ttl).alias("ttl_q"),
-        F.count(win).alias("win_n"), F.sum(win).alias("win_s"))
+    rows = windows.panes(_plain_rows(df), spec, windows.origin(df) if start is None else start)
+    marks = rows.groupBy(*PANE_EDGE, "ts_us", "dst_port").agg(*_sums())
     gap = F.col("ts_us") - F.lag("ts_us").over(Window.partitionBy(*PANE_EDGE).orderBy("ts_us", "dst_port"))
     return marks.withColumn("gap", gap).groupBy(*PANE_EDGE).agg(
         *[F.sum(c).alias(c) for c in SUMS], F.collect_set("dst_port").alias("ports"), F.min("ts_us").alias("first"), F.max("ts_us").alias("last"),
@@ -56,7 +60,12 @@ def pane_edges(df: DataFrame, spec: WindowSpec = WindowSpec(), start: Column | N
 
 
 def edge_moments(df: DataFrame, spec: WindowSpec = WindowSpec(), start: Column | None = None) -> DataFrame:
-    """``SUMS``, number of ``ports`` and gaps (``first``, ``last``, ``gap_q``, ``gap_max``) per (window, source, destination).
+    """``SUMS`` per (window, source, destination). They need no order, so they are added up before the only shuffle."""
+    return windows.assign(_plain_rows(df), spec, windows.origin(df) if start is None else start).groupBy(*EDGE).agg(*_sums())
+
+
+def edge_profile(df: DataFrame, spec: WindowSpec = WindowSpec(), start: Column | None = None) -> DataFrame:
+    """``edge_moments`` with the number of ``ports`` and the gaps (``first``, ``last``, ``gap_q``, ``gap_max``), from panes.
 
     Panes merge in order: between two of them lies one more gap, from the last packet of the one to the first of the next.
     """
@@ -95,7 +104,7 @@ def with_bidi(edges: DataFrame) -> DataFrame:
 
 def edge_iat(df: DataFrame, spec: WindowSpec = WindowSpec()) -> DataFrame:
     """Gap mean, std and max per edge and window, clipped to 0..60 s."""
-    return edge_moments(df.select("ts_us", "src_ip", "dst_ip"), spec).select(*EDGE, *_iat())
+    return edge_profile(df.select("ts_us", "src_ip", "dst_ip"), spec).select(*EDGE, *_iat())
 
 
 def edge_features(df: DataFrame, spec: WindowSpec = WindowSpec(), timing: DataFrame | None = None) -> DataFrame:
@@ -105,7 +114,7 @@ def edge_features(df: DataFrame, spec: WindowSpec = WindowSpec(), timing: DataFr
     when ``df`` is the result of joins, so that the time origin does not repeat them.
     """
     ends = F.col("src_ip").isNotNull() & F.col("dst_ip").isNotNull()
-    e = with_bidi(edge_moments(df, spec, windows.origin(df if timing is None else timing)).filter(ends)).select("*", *_iat())
+    e = with_bidi(edge_profile(df, spec, windows.origin(df if timing is None else timing)).filter(ends)).select("*", *_iat())
     return e.select(
         *EDGE, F.log1p("n").alias("log_packet_count"), F.log1p("bytes").alias("log_byte_volume"),
         *[ratio(f, "n").alias(f"{f}_ratio") for f in ("syn", "ack", "rst", "fin")],
@@ -129,7 +138,7 @@ def node_features(df: DataFrame, spec: WindowSpec = WindowSpec(), timing: DataFr
 
     Each edge row is read from both ends, so one aggregate yields out- and in-side values
     and the peer counts are plain row counts; only the port entropy reads packets again
-    (from ``timing`` when given, see ``edge_features``), as counts per pane, source and port.
+    (from ``timing`` when given, see ``edge_features``).
     """
     plain = df if timing is None else timing
     edges = edge_moments(df, spec, windows.origin(plain))
@@ -149,9 +158,8 @@ def node_features(df: DataFrame, spec: WindowSpec = WindowSpec(), timing: DataFr
         F.count_if(out).alias("peers_out"), F.count_if(inn).alias("peers_in"),
         *[total(f"ttl_{m}", out).alias(f"o_{m}") for m in "nsq"],
         *[total(f"ttl_{m}", inn).alias(f"i_{m}") for m in "nsq"])
-    sent = windows.panes(_plain_rows(plain).select("ts_us", "src_ip", "dst_port"), spec, windows.origin(plain))
-    counted = sent.groupBy("pane", "src_ip", "dst_port").agg(F.count("*").alias("n"))
-    ent = windows.port_entropy(windows.over_panes(counted, spec), ["window_id", "src_ip"], rows=F.sum("n"))
+    sent = windows.assign(_plain_rows(plain).select("ts_us", "src_ip", "dst_port"), spec, windows.origin(plain))
+    ent = windows.port_entropy(sent, ["window_id", "src_ip"])
     joined = agg.join(ent.withColumnRenamed("src_ip", "ip"), ["window_id", "ip"], "left")
     sends = F.col("n_out").isNotNull()
     zero = F.lit(0)
