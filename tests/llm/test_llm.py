@@ -295,6 +295,21 @@ def test_recall_of_similar_lines(spark):
     assert expected > 40 and 0.9 * expected <= found <= expected
 
 
+def test_pairs_inside_a_crowded_block(spark):
+    """Lines alike that share no block but a passage of far more lines than CROWD, with none of them like the least line."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 7))
+    lines = []
+    for _ in range(2 * line_dedup.CROWD):
+        own = [word() for _ in range(5)]
+        lines += ["with many thanks to all " + " ".join(own), "with many thanks to all " + " ".join(own[:2] + [own[2] + "x"] + own[3:])]
+    docs = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "doc_id long, text string")
+    blocks = {r["doc_id"]: set(r["blocks"]) for r in line_dedup.occurrences(docs).collect()}
+    alone = [i for i in range(0, len(lines), 2) if blocks[i] & blocks[i + 1] == set.intersection(*blocks.values())]
+    got = {r["doc_id"] for r in line_dedup.duplicates(docs).collect()}
+    assert len(alone) > 10 and got == set(range(1, len(lines), 2))
+
+
 def test_line_clean_keeps_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b c", 1, "r", None), (2, "a b c\nd e", 2, "s", "t"), (2, "a b c\nd e", 2, "s", "t")],
                                  "doc_id long, text string, doc_key int, removed string, now string")
