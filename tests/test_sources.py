@@ -134,6 +134,24 @@ def test_attack_patterns_from_xml(spark, tmp_path):
     assert ("CAPEC-7", "coa--1", 4) in edges and ("CWE-80", "CAPEC-7", 3) in edges and len(edges) == 8
 
 
+def test_large_pattern_files_are_read_in_splits(spark, tmp_path):
+    body = "".join(f"""<c:Attack_Pattern ID="{i}" Name='a/b > "{i}"'>\n<c:Description> text &lt;{i}&gt; <!-- a note --> </c:Description></c:Attack_Pattern>
+ <c:Attack_Pattern ID="{i}0000" Name="Plain / {i}"/>""" for i in range(1, 800))
+    head = '<?xml version="1.0"?><c:Catalog xmlns:c="http://x"><c:Attack_Patterns>'
+    (tmp_path / "d.xml").write_text(head + body + "</c:Attack_Patterns></c:Catalog>")
+    # markup inside a comment: read whole
+    (tmp_path / "e.xml").write_text(head + "<!-- <c:Attack_Pattern ID='5'></c:Attack_Pattern> -->" + body + "</c:Attack_Patterns></c:Catalog>")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 10_000)
+    try:
+        split, whole = (feeds.read_patterns(spark, str(tmp_path / f)) for f in ("d.xml", "e.xml"))
+        assert split.rdd.getNumPartitions() > 5 and whole.rdd.getNumPartitions() == 1
+        assert sorted(map(str, split.collect())) == sorted(map(str, whole.collect())) and split.count() == 2 * 799
+        assert split.filter("_ID = 7").select("_Name", "Description").first() == ('a/b > "7"', whole.filter("_ID = 7").first()["Description"])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_tfidf_weights(spark):
     docs = spark.createDataFrame([(1, "attack attack the server"), (2, "server down"), (3, "  ")], "doc_id int, text string")
     got = {(r.doc_id, r.term): r.weight for r in knowledge.tfidf(docs, "doc_id", "text").collect()}
