@@ -310,6 +310,38 @@ def test_pairs_inside_a_crowded_block(spark):
     assert len(alone) > 10 and got == set(range(1, len(lines), 2))
 
 
+def stored_rows(monkeypatch, module):
+    """Rows of each table that the module saves, by name."""
+    stored, saved = {}, module.saved
+
+    def counted(df, name):
+        table = saved(df, name)
+        stored.setdefault(name, []).append(table.count())
+        return table
+
+    monkeypatch.setattr(module, "saved", counted)
+    return stored
+
+
+def test_crowded_blocks_store_one_row_a_line(spark, monkeypatch):
+    """A block of at most WIDE groups is compared without a row for each rare word; a wider one finds the same."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 7))
+    passage = " ".join(word() for _ in range(24))
+    lines = []
+    for _ in range(2 * line_dedup.CROWD):
+        own = [word() for _ in range(30)]
+        lines += [" ".join([*own[:15], passage, *own[15:]]), " ".join([*own[:7], "changed", *own[8:15], passage, *own[15:]])]
+    lines += [" ".join([word(), word(), passage, word()]) for _ in range(3)]
+    docs = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "doc_id long, text string")
+    stored = stored_rows(monkeypatch, line_dedup)
+    expected = {*range(1, 4 * line_dedup.CROWD, 2), len(lines) - 2, len(lines) - 1}
+    assert {r["doc_id"] for r in line_dedup.duplicates(docs).collect()} == expected
+    assert stored["keys"][0] <= stored["open"][0] and stored["rooted"][0] < stored["shared"][0]
+    monkeypatch.setattr(line_dedup, "WIDE", 4)
+    assert {r["doc_id"] for r in line_dedup.duplicates(docs).collect()} == expected and stored["keys"][1] > stored["keys"][0]
+
+
 def test_line_clean_keeps_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b c", 1, "r", None), (2, "a b c\nd e", 2, "s", "t"), (2, "a b c\nd e", 2, "s", "t")],
                                  "doc_id long, text string, doc_key int, removed string, now string")
