@@ -139,16 +139,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(answer, "fingerprint").select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
 
 
+def anchored(prints: DataFrame) -> DataFrame:
+    """``a``, ``b``: ids whose fingerprints are equal or linked; each id with the least of its fingerprint, and the least ids of linked ones."""
+    least = saved(prints.groupBy("fingerprint").agg(F.min("id").alias("a")), "least")
+    equal = prints.join(least, "fingerprint").filter("id <> a").select("a", F.col("id").alias("b"))
+    ends = [least.select(F.col("fingerprint").alias(f"fingerprint_{x}"), F.col("a").alias(x)) for x in "ab"]
+    linked = links(least).select(F.col("a").alias("fingerprint_a"), F.col("b").alias("fingerprint_b"))
+    return equal.unionByName(linked.join(ends[0], "fingerprint_a").join(ends[1], "fingerprint_b").select("a", "b"))
+
+
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of every group of near copies, columns unchanged: the smallest doc_id, null ids last, then the smallest row hash.
 
-    Near copies have a Jaccard similarity of at least ``similarity`` between their sets of ``width``-word shingles
-    (see ``near_copies``; two fingerprint bits, as above, are far narrower). Only rows with equal id and text share
-    a row hash; one of them stays.
+    Near copies have a Jaccard similarity of at least ``similarity`` between their sets of ``width``-word shingles. The anchors
+    propose rows whose fingerprints are at most two bits apart, and these are compared on their shingles. That radius is far
+    narrower than the bound, so rows still in different groups are proposed by bands of minima (see ``near_copies``).
+    Only rows with equal id and text share a row hash; one of them stays.
     """
     whole = F.struct(*[F.col(c) for c in docs.columns])  # the table's own columns may have any names
     rows = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"), "doc_id", "text", whole.alias("row"))
-    found = saved(groups(rows.select("key", "text"), "key", width, similarity), "groups")
+    prints = saved(fingerprints(rows, "key").distinct(), "fingerprints")
+    found = saved(groups(rows.select("key", "text"), "key", width, similarity, anchored(prints)), "groups")
     keyed = found.groupBy(F.col("id").alias("key"), "root").agg(F.count("*").alias("copies"))
     ids = rows.select("key", "doc_id").distinct()
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key", "copies")

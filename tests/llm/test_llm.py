@@ -410,6 +410,22 @@ def test_keep_one_finds_near_copies_down_to_the_bound(spark):
     assert all(2 * i in kept for i in range(200)) and near > 100 and 0.99 * near <= gone <= near
 
 
+def test_keep_one_takes_near_fingerprints_from_the_anchors(spark, monkeypatch):
+    from packetloom.llm import near_copies
+
+    rng = np.random.default_rng(4)
+    texts = []
+    for _ in range(40):
+        words = [f"w{j}" for j in rng.integers(0, 5000, 900)]
+        texts += [" ".join(words), " ".join(words[:-1] + ["changed"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = {r["id"]: r["fingerprint"] for r in simhash_dedup.fingerprints(docs).collect()}
+    within = sum(((prints[i] ^ prints[i + 1]) & (1 << 64) - 1).bit_count() <= 2 for i in range(0, 80, 2))
+    stored = stored_rows(monkeypatch, near_copies)
+    assert {r["doc_id"] for r in simhash_dedup.keep_one(docs).collect()} == set(range(0, 80, 2))
+    assert within > 10 and stored["close"][0] >= within and stored["stars"][0] <= 40 - within
+
+
 # --- 7 quality and 8 toxicity
 
 @pytest.mark.parametrize("operator, column", [(quality, "quality"), (toxicity, "toxic")])
