@@ -342,6 +342,22 @@ def test_crowded_blocks_store_one_row_a_line(spark, monkeypatch):
     assert {r["doc_id"] for r in line_dedup.duplicates(docs).collect()} == expected and stored["keys"][1] > stored["keys"][0]
 
 
+def test_only_links_leave_a_crowded_block(spark, monkeypatch):
+    """A passage makes up two thirds of many lines: their pairs are within the bound on words, and none but links are stored."""
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 7))
+    passage = " ".join(word() for _ in range(40))
+    lines = []
+    for _ in range(line_dedup.CROWD):
+        own = [word() for _ in range(20)]
+        lines += [" ".join([*own, passage]), " ".join([*own[:9], "changed", *own[10:], passage])]
+    docs = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "doc_id long, text string")
+    monkeypatch.setattr(line_dedup, "SLICE", 16, raising=False)  # several tasks share the block
+    stored = stored_rows(monkeypatch, line_dedup)
+    assert {r["doc_id"] for r in line_dedup.duplicates(docs).collect()} == set(range(1, len(lines), 2))
+    assert sum(sum(rows) for name, rows in stored.items() if name in ("met", "rest", "block_links")) <= len(lines)
+
+
 def test_line_clean_keeps_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b c", 1, "r", None), (2, "a b c\nd e", 2, "s", "t"), (2, "a b c\nd e", 2, "s", "t")],
                                  "doc_id long, text string, doc_key int, removed string, now string")
