@@ -358,6 +358,57 @@ def test_only_links_leave_a_crowded_block(spark, monkeypatch):
     assert sum(sum(rows) for name, rows in stored.items() if name in ("met", "rest", "block_links")) <= len(lines)
 
 
+def test_block_rows_are_the_blocks_of_the_words(spark):
+    """Rows made word by word hold the same blocks as the array functions, at every length of a line and with repeated words."""
+    rng = np.random.default_rng(9)
+    vocabulary = [f"w{i}" for i in range(40)]
+    lines = [" ".join(rng.choice(vocabulary, n)) for n in [*range(1, 40), 400]] + ["a a a a a a a a a a a a", "x x", "", "--"]
+    docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    hashed = line_dedup.split_lines(docs).withColumn("hs", F.transform(line_dedup.words("line"), lambda w: F.xxhash64(w))).filter("size(hs) > 0")
+    expected = {r["pos"]: set(r["blocks"]) for r in hashed.select("pos", line_dedup.blocks("hs").alias("blocks")).collect()}
+    got = {p: set() for p in expected}
+    heads = []
+    for r in line_dedup.block_rows(docs).collect():
+        heads += [r["pos"]] if r["head"] else []
+        got[r["pos"]] |= {r["block"]} - {None}
+    assert got == expected and sorted(heads) == sorted(expected)
+
+
+def test_bounds_of_edits_are_never_below_the_distance(spark):
+    """Long texts with words changed, lost, added and moved: the cut pieces bound the edits from above, closely where the texts are alike."""
+    rng = np.random.default_rng(10)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(200)]
+    rows = []
+    for share in (0.0, 0.02, 0.05, 0.1, 0.1, 0.3):
+        base = list(rng.choice(vocabulary, 260))
+        near = [w for w in base if rng.random() >= share / 2]
+        near = [rng.choice(vocabulary) if rng.random() < share else w for w in near]
+        rows.append((" ".join(base), " ".join(near[200:] + near[:200] if share == 0.3 else near)))
+    rows.append((rows[0][0], "\u00e4\u4e16 " + rows[0][0][300:]))
+    table = spark.createDataFrame(rows, "wa string, wb string").withColumn("allowed", F.lit(1 << 20))
+    for i, r in enumerate(table.select("wa", "wb", F.expr(line_dedup.cut_edits("wa", "wb")).alias("bound")).collect()):
+        exact = distance(r["wa"], r["wb"])
+        assert exact <= r["bound"] and (i > 4 or r["bound"] <= 1.3 * exact + 8)
+    same = spark.createDataFrame([(["xx"] * 3 + ["abcdefghi"], ["xx"] * 3, 1, 9)], "wa array<string>, wb array<string>, changed int, longest int")
+    fresh = same.withColumn("fresh", F.expr("sort_array(transform(concat(array_except(wa, wb), array_except(wb, wa)), x -> char_length(x)), false)"))
+    assert fresh.select(F.expr(line_dedup.fresh_edits()).alias("bound")).first()["bound"] is None  # no room for the other words
+
+
+def test_long_lines_are_linked_by_pieces_and_texts_read_once(spark, monkeypatch):
+    """Lines of some 2,000 characters at similarity above and below 0.8; the texts of nodes that share blocks are fetched once."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 7))
+    lines = []
+    for share in (0.03, 0.12, 0.17, 0.30):
+        base = [word() for _ in range(250)]
+        lines += [" ".join(base), " ".join(word() if rng.random() < share else w for w in base)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    expected = {i + 1 for i in range(0, len(lines), 2) if distance(lines[i], lines[i + 1]) <= 0.2 * max(len(lines[i]), len(lines[i + 1])) + 1e-6}
+    stored = stored_rows(monkeypatch, line_dedup)
+    assert {r["doc_id"] for r in line_dedup.duplicates(docs).collect()} == expected and {1, 3} <= expected
+    assert len(stored["texts"]) == 1
+
+
 def test_line_clean_keeps_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b c", 1, "r", None), (2, "a b c\nd e", 2, "s", "t"), (2, "a b c\nd e", 2, "s", "t")],
                                  "doc_id long, text string, doc_key int, removed string, now string")
