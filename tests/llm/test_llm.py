@@ -374,6 +374,32 @@ def test_block_rows_are_the_blocks_of_the_words(spark):
     assert got == expected and sorted(heads) == sorted(expected)
 
 
+def scattered_pairs():
+    """Lines and copies with letters changed where no sampled block survives: the first and the last word of 10 to 30, the middle one of 9,
+    two of five to eight, two of 14; and one word against the same with another."""
+    rng = np.random.default_rng(12)
+    lines = []
+
+    def add(n, places):
+        base = ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(n)]
+        lines.extend([" ".join(base), " ".join(w[:3] + "z" + w[4:] if i in places else w for i, w in enumerate(base))])
+
+    for n in range(10, 31):
+        add(n, {0, n - 1})
+    for n, places in ((9, {4}), (5, {1, 3}), (6, {0, 4}), (7, {2, 5}), (8, {1, 6}), (14, {4, 9})):
+        add(n, places)
+    return [*lines, "internationally", "internationally an"]
+
+
+def test_lines_meet_in_any_five_words(spark):
+    """Every place of a line begins a block, so no pair that shares five words in a row, or differs in two words, is left out."""
+    lines = scattered_pairs()
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {r["doc_id"] for r in line_dedup.duplicates(docs).collect()} == set(range(1, len(lines), 2))
+    found = line_dedup.block_rows(docs).filter("block is not null and at < n").groupBy("doc_id", "n").count().collect()
+    assert {(r["doc_id"], r["count"]) for r in found} == {(i, len(x.split()) - 4) for i, x in enumerate(lines) if len(x.split()) > 4}
+
+
 def test_bounds_of_edits_are_never_below_the_distance(spark):
     """Long texts with words changed, lost, added and moved: the cut pieces bound the edits from above, closely where the texts are alike."""
     rng = np.random.default_rng(10)
