@@ -400,6 +400,17 @@ def test_lines_meet_in_any_five_words(spark):
     assert {(r["doc_id"], r["count"]) for r in found} == {(i, len(x.split()) - 4) for i, x in enumerate(lines) if len(x.split()) > 4}
 
 
+def test_line_stage_drops_lines_that_no_sampled_block_finds(spark):
+    import corpus_pipeline
+
+    lines = scattered_pairs()[:42]
+    docs = spark.createDataFrame([(i, f"own{i} words{i} of{i}\n{line}") for i, line in enumerate(lines)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    assert got == {i: f"own{i} words{i} of{i}" + ("" if i % 2 else f"\n{line}") for i, line in enumerate(lines)}
+    hashed = spark.createDataFrame([(lines[0],)], "line string").select(F.transform(line_dedup.words("line"), lambda w: F.xxhash64(w)).alias("hs"))
+    assert hashed.select(F.size(line_dedup.blocks("hs"))).first()[0] == 6 + 10 + 1 + 45  # runs of five; one left out, none, two
+
+
 def test_bounds_of_edits_are_never_below_the_distance(spark):
     """Long texts with words changed, lost, added and moved: the cut pieces bound the edits from above, closely where the texts are alike."""
     rng = np.random.default_rng(10)
